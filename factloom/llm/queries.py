@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import exact_dedup
+from factloom.llm import exact_dedup, media
 from factloom.storage import table
 
 QUERIES: dict = {}
@@ -35,3 +35,9 @@ def query(name: str, sql: str | None = None):
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.find_copies(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+@query("op3_media_columns")
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.with_media(table(spark, sf_dir, "documents"), keep_media=False)
+    return found.select(F.col("id").alias("doc_id"), *(c[0] for c in media.COLUMNS[:6]), F.lower(F.hex("phash")).alias("feature"))
