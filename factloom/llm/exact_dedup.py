@@ -54,6 +54,7 @@ def _stream_state(spark: SparkSession, arrivals_path: str, schema: T.StructType,
         if (value := spark.conf.get(key, None)) is not None:
             session.conf.set(key, value)
     session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # else each partition reserves disk it never fills
     out, state = fresh_path(spark, "dedup-updates"), fresh_path(spark, "dedup-state")
     stream = session.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(arrivals_path)
     kept = stream.groupBy("digest").agg(F.max(F.struct("id", "locator")).alias("head"), F.count(F.lit(1)).alias("size"))
