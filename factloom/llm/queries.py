@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import exact_dedup, media
+from factloom.llm import exact_dedup, media, toxicity
 from factloom.storage import table
 
 QUERIES: dict = {}
@@ -41,3 +41,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media.with_media(table(spark, sf_dir, "documents"), keep_media=False)
     return found.select(F.col("id").alias("doc_id"), *(c[0] for c in media.COLUMNS[:6]), F.lower(F.hex("phash")).alias("feature"))
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    model = toxicity.train(docs.where(~held), table(spark, sf_dir, "labels").where(~held))
+    scored = toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
