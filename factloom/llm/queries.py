@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import exact_dedup, media, toxicity
+from factloom.llm import exact_dedup, media, ppm, toxicity
 from factloom.storage import table
 
 QUERIES: dict = {}
@@ -49,3 +49,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs.where(~held), table(spark, sf_dir, "labels").where(~held))
     scored = toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op1_ppm_scoring")
+def op1_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2
+    found = ppm.score(table(spark, sf_dir, "documents"), ~held)
+    return found.select(F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
