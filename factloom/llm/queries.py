@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import exact_dedup, media, ppm, toxicity
+from factloom.llm import exact_dedup, html_text, media, ppm, toxicity
 from factloom.storage import table
 
 QUERIES: dict = {}
@@ -56,3 +56,9 @@ def op1_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2
     found = ppm.score(table(spark, sf_dir, "documents"), ~held)
     return found.select(F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op5_html_extraction")
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.with_text(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
