@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import exact_dedup, html_text, media, ppm, toxicity
+from factloom.llm import exact_dedup, html_text, media, ngram_join, ppm, toxicity
 from factloom.storage import table
 
 QUERIES: dict = {}
@@ -62,3 +62,9 @@ def op1_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_text.with_text(table(spark, sf_dir, "pages"))
     return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op7_ngram_jaccard_join")
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.join_similar(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "rep_id", "n_links", "n_linked_classes")
