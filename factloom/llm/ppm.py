@@ -43,7 +43,7 @@ GRAM, TOKEN, TOTALS = 0, 1, 2
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 #: Bytes of text that are turned into grams at once.
-SLICE = 4_000_000
+SLICE = 1_500_000
 PACKED = "kind int, part int, bucket int, keys binary, counts binary"
 
 
@@ -99,6 +99,7 @@ class _Bucket:
 
     def __init__(self) -> None:
         self.codes, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.pending: list[tuple[np.ndarray, np.ndarray]] = []
         self.tokens: Counter[bytes] = Counter()
         self.held: set[bytes] = set()
         self.texts = 0
@@ -106,17 +107,22 @@ class _Bucket:
     def add(self, data: np.ndarray, at: np.ndarray, train: np.ndarray) -> None:
         sizes = np.diff(at) + 1
         codes, learned = grams(data, at), np.repeat(train, sizes)
-        more = [np.unique(codes[learned], return_counts=True), (u := np.unique(codes[~learned]), np.zeros(len(u), np.int64))]
-        merged, at_code = np.unique(np.concatenate([self.codes, *(c for c, _ in more)]), return_inverse=True)
-        self.counts = np.bincount(at_code, np.concatenate([self.counts, *(n for _, n in more)]), len(merged)).astype(np.int64)
-        self.codes = merged
+        self.pending += [np.unique(codes[learned], return_counts=True), (u := np.unique(codes[~learned]), np.zeros(len(u), np.int64))]
+        if sum(len(c) for c, _ in self.pending) > 1_500_000:
+            self.merge()
         folded = FOLD[data[at[0] : at[-1]]].tobytes()
         for i in range(len(train)):
             words = folded[at[i] - at[0] : at[i + 1] - at[0]].split()
             self.tokens.update(words) if train[i] else self.held.update(words)
         self.texts += int(train.sum())
 
+    def merge(self) -> None:
+        merged, at = np.unique(np.concatenate([self.codes, *(c for c, _ in self.pending)]), return_inverse=True)
+        self.counts = np.bincount(at, np.concatenate([self.counts, *(n for _, n in self.pending)]), len(merged)).astype(np.int64)
+        self.codes, self.pending = merged, []
+
     def packed(self, bucket: int, parts: int) -> pa.RecordBatch:
+        self.merge()
         rows = []
         part = _part(self.codes, parts)
         order = np.argsort(part, kind="stable")
@@ -305,7 +311,7 @@ def _score(key: tuple, docs: pa.Table, model: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([docs["id"], docs["train"], pa.array(np.concatenate(score)) if score else pa.array([], pa.float64()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(log_counts, pa.float64())], names=["id", "train", "score", "n_words", "known_words", "log_counts"])
 
 
-def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 24_000_000) -> DataFrame:
+def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 16_000_000) -> DataFrame:
     """One row per input row: id, train, score (log10 probability), n_tokens, n_known, train_tokens, base_score."""
     spark = docs.sparkSession
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
