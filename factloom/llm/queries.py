@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import exact_dedup, html_text, media, ngram_join, ppm, toxicity
+from factloom.llm import exact_dedup, html_text, media, ngram_join, pii, ppm, toxicity
 from factloom.storage import table
 
 QUERIES: dict = {}
@@ -68,3 +68,11 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.join_similar(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "class_id", "rep_id", "n_links", "n_linked_classes")
+
+
+@query("op8_pii_weak_supervision")
+def op8_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["base"])
+    count = lambda i: F.size(F.filter(base, lambda x: x["kind"] == i)).cast("long")
+    return found.select(F.col("id").alias("doc_id"), *(count(i).alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)), F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
