@@ -8,13 +8,22 @@ from pyspark.sql import functions as F
 from factloom.storage import materialize
 
 
+def _to_least(edges: DataFrame) -> DataFrame:
+    """edges (a > b): each node keeps one edge, to its least neighbour below, which takes over its others."""
+    least = edges.groupBy("a").agg(F.min("b").alias("least"))
+    moved = edges.join(least, "a").where("b != least").select(F.col("b").alias("a"), F.col("least").alias("b"))
+    return materialize(moved.union(least.select("a", "least")).distinct(), "cc-edges")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """edges (a long, b long) -> node, label: the smallest node of each node's component.
 
-    Each round takes the least label of a node's neighbours and then the label of that label, so chains halve.
+    First, twice, a node's edges to smaller nodes are handed to the least of them, so that what many paths connect
+    becomes nearly a star. Then each round takes the least label of a node's neighbours and then the label of that label, so chains halve.
     Rounds are written to the shared folder. Loops and repeated edges do no harm; null ends are left out.
     """
-    edges = edges.where("a is not null and b is not null and a != b")
+    edges = edges.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    edges = _to_least(_to_least(materialize(edges, "cc-edges")))
     both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "cc-edges")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "cc-labels")
     for _ in range(rounds):
