@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import exact_dedup, html_text, media, ngram_join, pii, ppm, toxicity
+from factloom.llm import exact_dedup, html_text, media, mixing, ngram_join, pii, ppm, quality, toxicity
 from factloom.storage import table
 
 QUERIES: dict = {}
@@ -76,3 +76,22 @@ def op8_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda x: x["base"])
     count = lambda i: F.size(F.filter(base, lambda x: x["kind"] == i)).cast("long")
     return found.select(F.col("id").alias("doc_id"), *(count(i).alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)), F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
+@query("op9_quality_co_training")
+def op9_quality_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return found.select(F.col("id").alias("doc_id"), "score", "content_score", "metadata_score", (F.col("score") >= 0.5).alias("kept"))
+
+
+#: Half of all tokens: web, book and reference sources 5 : 3 : 2, English twice as much as each other language.
+MIX = mixing.Plan(
+    share=(1, 2), max_epochs=2, seed=42, other="reference", domains={**{f"src{i}": "web" for i in range(5)}, **{f"src{i}": "books" for i in range(5, 13)}},
+    domain_weights={"web": 5, "books": 3, "reference": 2}, lang_weights={"en": 4, "de": 2, "fr": 2, "es": 2},
+)
+
+
+@query("op10_source_mixing", "SELECT id AS doc_id, epoch, domain, lang, source, n_tokens FROM (" + mixing.sql(MIX) + ") m")
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), MIX).withColumnRenamed("id", "doc_id")
