@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import exact_dedup, html_text, media, mixing, ngram_join, pii, ppm, quality, toxicity
+from factloom.llm import exact_dedup, html_text, media, mixing, ngram_join, pii, ppm, quality, sentencepiece, toxicity
 from factloom.storage import table
 
 QUERIES: dict = {}
@@ -95,3 +95,8 @@ MIX = mixing.Plan(
 @query("op10_source_mixing", "SELECT id AS doc_id, epoch, domain, lang, source, n_tokens FROM (" + mixing.sql(MIX) + ") m")
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), MIX).withColumnRenamed("id", "doc_id")
+
+
+@query("op2_sentencepiece")
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.encode(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")

@@ -1,7 +1,10 @@
-"""The opN_ queries and their SQL."""
+"""The opN_ queries, the pipeline and their SQL."""
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from factloom.llm import queries
 
-QUERIES, ORACLES = queries.QUERIES, queries.ORACLES
+QUERIES = {**queries.QUERIES, "pipeline": corpus_pipeline.run}
+ORACLES = {**queries.ORACLES, **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}
