@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.storage import materialize
+from factloom.storage import delete, fresh_path, materialize
 
 ORDER = 5
 BITS = 9
@@ -44,6 +44,7 @@ FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 #: Bytes of text that are turned into grams at once.
 SLICE = 1_500_000
+#: Counts inside a bucket have 32 bits, as a bucket is bounded; totals have 64.
 PACKED = "kind int, part int, bucket int, keys binary, counts binary"
 
 
@@ -129,7 +130,7 @@ class _Bucket:
         edges = np.searchsorted(part[order], np.arange(parts + 1))
         for p in np.flatnonzero(np.diff(edges)):
             own = order[edges[p] : edges[p + 1]]
-            rows.append((GRAM, int(p), bucket, self.codes[own].tobytes(), self.counts[own].tobytes()))
+            rows.append((GRAM, int(p), bucket, self.codes[own].tobytes(), self.counts[own].astype(np.int32).tobytes()))
         words = list(self.tokens) + list(self.held - self.tokens.keys())
         counts = np.zeros(len(words), np.int64)
         counts[: len(self.tokens)] = list(self.tokens.values())
@@ -139,7 +140,7 @@ class _Bucket:
             edges = np.searchsorted(part[order], np.arange(parts + 1))
             for p in np.flatnonzero(np.diff(edges)):
                 own = order[edges[p] : edges[p + 1]]
-                rows.append((TOKEN, int(p), bucket, b" ".join([words[i] for i in own]), counts[own].tobytes()))
+                rows.append((TOKEN, int(p), bucket, b" ".join([words[i] for i in own]), counts[own].astype(np.int32).tobytes()))
         rows.append((TOTALS, 0, bucket, b"", np.array([self.texts, counts.sum()], np.int64).tobytes()))
         return _rows(rows)
 
@@ -234,7 +235,7 @@ def _learn(trigrams) -> callable:
     def run(table: pa.Table) -> pa.Table:
         kind, part = table["kind"][0].as_py(), table["part"][0].as_py()
         buckets = table["bucket"].to_pylist()
-        counts = [np.frombuffer(x, np.int64) for x in table["counts"].to_pylist()]
+        counts = [np.frombuffer(x, np.int64 if kind == TOTALS else np.int32) for x in table["counts"].to_pylist()]
         out = []
         if kind == TOTALS:
             out.append((TOTALS, 0, -1, b"", np.array([0, *np.sum(counts, axis=0)], np.int64).tobytes()))
@@ -319,7 +320,9 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     buckets = max(1, math.ceil(size / bucket_bytes))
     rows = rows.select(F.pmod(F.xxhash64("id", "text"), F.lit(buckets)).cast("int").alias("bucket"), "*")
     dealt = rows.repartition(buckets, "bucket")
-    asked = materialize(dealt.mapInArrow(_gather(buckets), PACKED), "ppm-asked")
+    path = fresh_path(spark, "ppm-asked")
+    dealt.mapInArrow(_gather(buckets), PACKED).write.parquet(path)
+    asked = spark.read.schema(PACKED).parquet(path)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, counts = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -327,7 +330,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
             for k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 both = np.concatenate([codes, np.frombuffer(k, np.int64) & mask(2)])
                 codes, at = np.unique(both, return_inverse=True)
-                counts = np.bincount(at, np.concatenate([counts, np.frombuffer(n, np.int64)]), len(codes)).astype(np.int64)
+                counts = np.bincount(at, np.concatenate([counts, np.frombuffer(n, np.int32)]), len(codes)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["gram", "n"])
 
     tri = asked.where(F.col("kind") == GRAM).select("keys", "counts").mapInArrow(cells, "gram long, n long")
@@ -335,6 +338,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     order = np.argsort(tri["gram"].to_numpy())
     trigrams = spark.sparkContext.broadcast((tri["gram"].to_numpy()[order], tri["n"].to_numpy()[order]))
     answered = materialize(asked.groupBy("kind", "part").applyInArrow(_learn(trigrams), PACKED), "ppm-answered")
+    delete(spark, path)
     parts = [np.frombuffer(r.counts, np.int64) for r in answered.where(F.col("kind") == TOTALS).select("counts").toLocalIterator()]
     distinct, texts, words = np.sum(parts, axis=0).tolist() if parts else (0, 0, 0)
     train_tokens, kinds = words + texts, distinct + (texts > 0)
