@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.ppm import string_bytes
+from factloom.llm.ppm import slices, string_bytes
 
 # Character classes of the content view, by byte.
 LOWER, UPPER, DIGIT, BLANK, LINE, COMMON, SYMBOL, OTHER = range(8)
@@ -44,8 +44,12 @@ WINDOW = 25
 
 
 def content_view(texts: pa.Array) -> np.ndarray:
-    """(rows, MEASURES) of measures of each text."""
+    """(rows, MEASURES) of measures of each text, some texts at a time."""
     data, at = string_bytes(texts)
+    return np.concatenate([np.zeros((0, MEASURES)), *(_measures(data, at[i : j + 1]) for i, j in slices(at))])
+
+
+def _measures(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     size = np.diff(at)
     n = np.maximum(size, 1)
     out = np.zeros((len(size), MEASURES))
