@@ -16,3 +16,6 @@ def query(name: str, sql: str | None = None):
         return function
 
     return add
+
+
+from factloom.plans import text_queries  # noqa: E402, F401  registers its queries
