@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,25 +33,37 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once: inside a lambda, an outer expression would be computed per element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def windows(values: Column, width: int) -> Column:
     """Space-joined runs of `width` neighbouring tokens, in order."""
-    last = F.size(values) - width
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.array_join(F.slice(values, i + 1, width), " "))).otherwise(F.array().cast("array<string>"))
+
+    def run(v: Column) -> Column:
+        last = F.size(v) - width
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.array_join(F.slice(v, i + 1, width), " "))).otherwise(F.array().cast("array<string>"))
+
+    return once(values, run)
 
 
 def probes(text: Column, width: int = 3, size: int = 8192) -> Column:
     """Distinct hashes below `size` of the character n-grams of the folded ASCII letters, digits and spaces."""
-    codes = F.transform(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9 ]", ""), ""), lambda c: F.ascii(c))
-    codes = F.filter(codes, lambda c: c > 0)
+    letters = F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9 ]", ""), "")
+    codes = F.filter(F.transform(letters, lambda c: F.ascii(c)), lambda c: c > 0)
+
+    def run(v: Column) -> Column:
+        def at(i: Column) -> Column:
+            value = F.lit(0)
+            for k in range(width):
+                value = (value * 131 + F.element_at(v, i + k)) % size
+            return value
 
-    def at(i: Column) -> Column:
-        value = F.lit(0)
-        for k in range(width):
-            value = (value * 131 + F.element_at(codes, i + k)) % size
-        return value
+        last = F.size(v) - width + 1
+        return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), at))).otherwise(F.array().cast("array<int>"))
 
-    last = F.size(codes) - width + 1
-    return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), at))).otherwise(F.array().cast("array<int>"))
+    return once(codes, run)
 
 
 def snippet(text: Column, term: str, before: int = 20, width: int = 80) -> Column:

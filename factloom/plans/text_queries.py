@@ -148,8 +148,8 @@ def literal_global_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.locate_phrases(table(spark, sf_dir, "documents"), heads.select("item", F.array_join(F.slice("t", 1, 6), " ").alias("phrase")), 6)
 
 
-@query("ngram_signature", """WITH c AS (SELECT doc_id, list_transform(string_split(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9 ]', '', 'g'), ''), x -> ascii(x)) AS a FROM documents),
-    p AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(a) - 1, 1)), i -> (((a[i] % 8192) * 131 + a[i + 1]) % 8192 * 131 + a[i + 2]) % 8192))) AS probe FROM c)
+@query("ngram_signature", """WITH c AS (SELECT doc_id, list_transform(string_split(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9 ]', '', 'g'), ''), lambda x: ascii(x)) AS a FROM documents),
+    p AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(a) - 1, 1)), lambda i: (((a[i] % 8192) * 131 + a[i + 1]) % 8192 * 131 + a[i + 2]) % 8192))) AS probe FROM c)
     SELECT doc_id, count(*) AS n_probes, CAST(sum(probe) AS BIGINT) AS probe_sum FROM p GROUP BY doc_id""")
 def ngram_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = table(spark, sf_dir, "documents").select("doc_id", X.probes(F.col("text")).alias("p")).where("size(p) > 0")
@@ -202,7 +202,7 @@ def concept_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(50)
 
 
-@query("manual_section_score", f"""WITH {_LINE_ROWS}, s AS (SELECT doc_id, line_no, len(list_filter(regexp_extract_all(lower(line), '[a-z0-9_]+'), x -> x IN ({_IN(TERMS)}))) AS hits FROM l)
+@query("manual_section_score", f"""WITH {_LINE_ROWS}, s AS (SELECT doc_id, line_no, len(list_filter(regexp_extract_all(lower(line), '[a-z0-9_]+'), lambda x: x IN ({_IN(TERMS)}))) AS hits FROM l)
     SELECT doc_id, CAST(sum(hits) + 2 * sum(CASE WHEN line_no = 1 THEN hits ELSE 0 END) AS BIGINT) AS score FROM s GROUP BY doc_id HAVING sum(hits) > 0""")
 def manual_section_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = corpus.physical_lines(table(spark, sf_dir, "documents"))
