@@ -93,7 +93,7 @@ def test_commands():
 def test_free_form_and_continuation():
     assert not cobol.is_fixed("program-id. x.\nprocedure division.\n  move a to b.\n")
     tokens = cobol.lex("       MOVE 'abc\n      -    'def' TO X.\n", True)
-    assert [t.value for t in tokens] == ["MOVE", "'abcdef'", "TO", "X", "."] or tokens[1].value.startswith("'abc")
+    assert [t.value for t in tokens] == ["MOVE", "'abcdef'", "TO", "X", "."]
 
 
 def test_sources(spark, tmp_path):
