@@ -312,7 +312,7 @@ def _score(key: tuple, docs: pa.Table, model: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([docs["id"], docs["train"], pa.array(np.concatenate(score)) if score else pa.array([], pa.float64()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(log_counts, pa.float64())], names=["id", "train", "score", "n_words", "known_words", "log_counts"])
 
 
-def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 16_000_000) -> DataFrame:
+def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 12_000_000) -> DataFrame:
     """One row per input row: id, train, score (log10 probability), n_tokens, n_known, train_tokens, base_score."""
     spark = docs.sparkSession
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
