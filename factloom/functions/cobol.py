@@ -381,3 +381,207 @@ def commands(text: str) -> list[Fact]:
             out.append(Fact("command", target.split("/")[-1].upper(), first, number, "", {"verb": verb, **{k.lower(): v for k, v in named.items()}}))
         held = ""
     return out
+
+
+def replace(text: str, pairs: list[tuple[str, str]], fixed: bool | None = None) -> str:
+    """COPY ... REPLACING: code in which each run of tokens equal to a pair's first text has become its second.
+
+    Pairs are given without their == marks; the first that matches at a place is taken, and what it put there is not
+    looked at again. Lines keep their numbers.
+    """
+    wanted = [([t.up for t in _tokens(old, 0)], new) for old, new in pairs]
+    out = []
+    last = 0
+    for number, code, _ in code_lines(text, fixed):
+        out += [""] * (number - last - 1)
+        last = number
+        found = [(m.start(), m.end(), m.group().upper()) for m in TOKENS.finditer(code)]
+        built, at, i = "", 0, 0
+        while i < len(found):
+            hit = next(((old, new) for old, new in wanted if old and [f[2] for f in found[i : i + len(old)]] == old), None)
+            if hit:
+                built += code[at : found[i][0]] + hit[1]
+                at = found[i + len(hit[0]) - 1][1]
+                i += len(hit[0])
+            else:
+                i += 1
+        out.append(built + code[at:])
+    return "\n".join(out)
+
+
+def replacing_pairs(tokens_text: str) -> list[tuple[str, str]]:
+    """The pairs of a COPY statement's REPLACING phrase: ==a== BY ==b==, or single words and literals."""
+    phrase = re.split(r"\bREPLACING\b", tokens_text, maxsplit=1, flags=re.I)
+    if len(phrase) < 2:
+        return []
+    part = r"==(.*?)==|(\"[^\"]*\"|'[^']*'|[\w-]+)"
+    return [(a or b, c or d) for a, b, c, d in re.findall(rf"(?:{part})\s+BY\s+(?:{part})", phrase[1], re.I | re.S)]
+
+
+def expand_copies(path: str, sources: dict[str, str], max_depth: int = 8, max_lines: int = 200_000) -> tuple[list[tuple[str, int, str, str]], list[tuple[str, str]]]:
+    """A program's lines with its copybooks in place: (file, line, code, chain of files), and boundaries (book, reason).
+
+    sources: text by book name in upper case, and by path. Reasons: missing, cycle, depth, lines.
+    """
+    out: list[tuple[str, int, str, str]] = []
+    boundaries: list[tuple[str, str]] = []
+
+    def walk(name: str, text: str, chain: list[str], pairs: list[tuple[str, str]]) -> None:
+        fixed = is_fixed(text)
+        lines = replace(text, pairs, fixed).split("\n") if pairs else None
+        pending, first = "", 0
+        for number, code, _ in code_lines(text, fixed):
+            code = lines[number - 1] if lines and number <= len(lines) else code
+            if not pending and not re.match(r"\s*COPY\s+\S", code, re.I):
+                if len(out) >= max_lines:
+                    boundaries.append((name, "lines"))
+                    return
+                out.append((name, number, code, "/".join(chain)))
+                continue
+            first = first or number
+            pending += " " + code
+            if "." not in re.sub(r"==.*?==|'[^']*'|\"[^\"]*\"", "", pending):
+                continue
+            book = re.match(r"\s*COPY\s+[\"']?([\w#@$-]+)", pending, re.I)[1].upper()
+            if book in chain:
+                boundaries.append((book, "cycle"))
+            elif len(chain) > max_depth:
+                boundaries.append((book, "depth"))
+            elif book not in sources:
+                boundaries.append((book, "missing"))
+            else:
+                walk(book, sources[book], [*chain, book], replacing_pairs(pending))
+            pending, first = "", 0
+
+    walk(path, sources[path], [path], [])
+    return out, boundaries
+
+
+def condition_value(expression: str, context: dict[str, bool | str]) -> bool | None:
+    """Three-valued value of a conditional-compilation expression of DEFINED, names, = and NOT, AND, OR; None if unknown."""
+    form = r"'[^']*'|\"[^\"]*\"|[\w-]+|[()=]"
+    words = re.findall(form, expression.upper())
+    if re.sub(form, "", expression).strip():
+        return None  # something that this grammar does not know
+    known = {k.upper(): v for k, v in context.items()}
+    at = 0
+
+    def peek() -> str:
+        return words[at] if at < len(words) else ""
+
+    def take() -> str:
+        nonlocal at
+        at += 1
+        return words[at - 1]
+
+    def either() -> bool | None:
+        value = both()
+        while peek() == "OR":
+            take()
+            other = both()
+            value = True if value or other else (None if value is None or other is None else False)
+        return value
+
+    def both() -> bool | None:
+        value = one()
+        while peek() == "AND":
+            take()
+            other = one()
+            value = False if value is False or other is False else (None if value is None or other is None else True)
+        return value
+
+    def one() -> bool | None:
+        if not peek():
+            return None
+        word = take()
+        if word == "NOT":
+            value = one()
+            return None if value is None else not value
+        if word == "(":
+            value = either()
+            if peek() == ")":
+                take()
+            return value
+        if peek() == "IS":
+            take()
+        negated = peek() == "NOT"
+        if negated:
+            take()
+        if peek() == "DEFINED":
+            take()
+            return (word in known) != negated
+        if peek() == "=":
+            take()
+            right = take().strip("'\"") if peek() else ""
+            left = known.get(word)
+            return None if left is None else (str(left).upper() == right) != negated
+        value = known.get(word)
+        return value if isinstance(value, bool) else None
+
+    value = either()
+    return value if at == len(words) else None
+
+
+def regions(items: list[Fact]) -> list[tuple[str, str, str]]:
+    """(item, relation, other) of storage: contains by level numbers, aliases by REDEFINES. 66, 77 and 88 stand apart."""
+    out, stack = [], []
+    for item in items:
+        level = int(item.detail.get("level", "0"))
+        if level in (66, 77, 78, 88):
+            if level == 88 and stack:
+                out.append((stack[-1][1], "condition", item.name))
+            continue
+        while stack and stack[-1][0] >= level:
+            stack.pop()
+        if stack:
+            out.append((stack[-1][1], "contains", item.name))
+        if "redefines" in item.detail:
+            out.append((item.name, "aliases", item.detail["redefines"]))
+        stack.append((level, item.name))
+    return out
+
+
+def bind(reference: str, items: list[Fact]) -> tuple[str, list[int]]:
+    """A name with OF / IN qualifiers against an item tree: (bound, ambiguous or unresolved, places of the items).
+
+    Qualifiers must be names of groups that hold the item, in order outwards, not all of them.
+    """
+    name, *qualifiers = [w for w in re.split(r"\s+(?:OF|IN)\s+", reference.strip().upper())]
+    stack: list[tuple[int, str]] = []
+    found = []
+    for place, item in enumerate(items):
+        level = int(item.detail.get("level", "0"))
+        while stack and level not in (66, 88) and stack[-1][0] >= (1 if level == 77 else level):
+            stack.pop()
+        if item.name == name:
+            groups = iter(g for _, g in reversed(stack))
+            if all(q in groups for q in qualifiers):
+                found.append(place)
+        if level not in (66, 77, 88):
+            stack.append((level, item.name))
+    return ("unresolved" if not found else "bound" if len(found) == 1 else "ambiguous"), found
+
+
+def mask_sql(code: str) -> tuple[str, bool]:
+    """The text with literals and comments blanked, at the same offsets, and whether all of them were closed."""
+    out, i, closed = list(code), 0, True
+    while i < len(code):
+        if code[i] in "'\"":
+            end = i + 1
+            while end < len(code) and not (code[end] == code[i] and code[end : end + 2] != code[i] * 2):
+                end += 2 if code[end : end + 2] == code[i] * 2 else 1
+            closed &= end < len(code)
+            end = min(end + 1, len(code))
+        elif code.startswith("--", i):
+            end = code.find("\n", i)
+            end = len(code) if end < 0 else end
+        elif code.startswith("/*", i):
+            end = code.find("*/", i + 2)
+            closed &= end >= 0
+            end = len(code) if end < 0 else end + 2
+        else:
+            i += 1
+            continue
+        out[i:end] = [c if c == "\n" else " " for c in code[i:end]]
+        i = end
+    return "".join(out), closed

@@ -27,3 +27,23 @@ def without_pending(current: DataFrame, pending: DataFrame, key: str) -> DataFra
 def keyset_page(rows: DataFrame, after: Column, order: list[str], limit: int) -> DataFrame:
     """The next rows after a cursor: a range filter that reaches the scan, not an offset."""
     return rows.where(after).orderBy(*order).limit(limit)
+
+
+def commit(history: DataFrame, changed: DataFrame, key: str, version: int) -> DataFrame:
+    """history (key, payload, start_version, end_version) after a commit: open rows of changed keys end at version, and
+    changed rows (key, payload) that are new or differ open there. A commit that is run again changes nothing."""
+    now = changed.select(key, F.col("payload").alias("new_payload"))
+    at = history.join(now, key, "left")
+    closes = F.col("end_version").isNull() & F.col("new_payload").isNotNull() & ~F.col("payload").eqNullSafe(F.col("new_payload")) & (F.col("start_version") < version)
+    kept = at.select(key, "payload", "start_version", F.when(closes, F.lit(version)).otherwise(F.col("end_version")).alias("end_version"))
+    standing = history.where("end_version is null").select(key, F.col("payload").alias("old"), F.col("start_version").alias("since"))
+    fresh = now.join(standing, key, "left").where((F.col("since").isNull() | ~F.col("old").eqNullSafe(F.col("new_payload"))) & (F.coalesce("since", F.lit(-1)) < version))
+    return kept.unionByName(fresh.select(key, F.col("new_payload").alias("payload"), F.lit(version).alias("start_version"), F.lit(None).cast("int").alias("end_version")))
+
+
+def changes(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
+    """One row: how many keys were added, changed and removed between two content versions."""
+    joined = old.select(key, F.col(digest).alias("old")).join(new.select(key, F.col(digest).alias("new")), key, "full")
+    return joined.agg(
+        F.count(F.when(F.col("old").isNull(), 1)).alias("added"), F.count(F.when(F.col("old") != F.col("new"), 1)).alias("changed"), F.count(F.when(F.col("new").isNull(), 1)).alias("removed")
+    )
