@@ -17,7 +17,7 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, hubs: DataFrame | No
 
     Nodes in hubs are reached but not expanded, unless they are seeds.
     """
-    edges = edges.where("src is not null and dst is not null").select("src", "dst").distinct()
+    edges = materialize(edges.where("src is not null and dst is not null").select("src", "dst").distinct(), "bfs-edges")
     reached = materialize(seeds.select("node").distinct().withColumn("depth", F.lit(0).cast("long")), "bfs")
     newest = reached
     for depth in range(1, max_depth + 1):
