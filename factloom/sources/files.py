@@ -8,20 +8,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Suffixes that are source, folders that never are, and encodings in the order they are tried.
-SUFFIXES = ("cbl", "cob", "cobol", "cpy", "copy", "clle", "cl", "clp", "dds", "pf", "lf", "dspf", "prtf", "rpgle", "sql", "sqlcbl", "sqlcblle", "cblle", "mbr", "txt")
-IGNORED = (".git", ".svn", "node_modules", "__pycache__", "build", "dist")
+# Suffixes that are source, folders that never are, encodings in the order they are tried, and the kinds.
+SUFFIXES = tuple("cbl cob cobol cblle sqlcblle cpy copy cpb inc pco sqb src txt sql ddl dds pf lf cl clle clp jcl job".split())
+IGNORED = tuple(".git .hg .svn .idea .vscode __pycache__ node_modules venv .venv".split())
+COPYBOOKS, DEFINITIONS, JOBS = ("cpy", "copy", "cpb"), ("ddl", "dds", "pf", "lf"), ("cl", "clle", "clp", "jcl", "job")
 ENCODINGS = ("utf-8", "cp950", "big5", "cp1252")
 MARKS = ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"))
 SNIFFED = 8192
 
 
 def looks_binary(data: bytes) -> bool:
-    """More than one null in a hundred, or one other control byte in twenty, among the first bytes."""
+    """More than one null in a hundred, or one control byte in twenty (below 9, or 14 to 31), among the first bytes."""
     head = data[:SNIFFED]
     if not head or any(head.startswith(m) for m, _ in MARKS):
         return False
-    control = sum(b < 32 and b not in (9, 10, 12, 13, 27) for b in head)
+    control = sum(b < 32 and not 9 <= b <= 13 for b in head)
     return head.count(0) > len(head) / 100 or control > len(head) / 20
 
 
@@ -68,8 +69,12 @@ def decoded(files: DataFrame) -> DataFrame:
 
 
 def artifact_kind(suffix: Column, text: Column) -> Column:
-    """program, copybook, command, definition, query or other, by content before suffix."""
-    return (
-        F.when(text.rlike(r"(?im)^.{0,11}PROGRAM-ID\s*\."), "program").when(suffix.isin("cpy", "copy"), "copybook").when(suffix.isin("cl", "clle", "clp"), "command")
-        .when(suffix.isin("dds", "pf", "lf", "dspf", "prtf"), "definition").when(suffix == "sql", "query").otherwise("other")
-    )
+    """What a file is: the suffixes of copybooks, definitions and jobs decide before its text does."""
+    division = lambda name: text.rlike(rf"(?im)^.{{0,11}}\b{name}\s+DIVISION\b")
+    program = text.rlike(r"(?im)^.{0,11}PROGRAM-ID\s*\.") | division("PROCEDURE")
+    fragment = division("DATA") | text.rlike(r"(?im)^\s*(01|77|78)\s+[A-Z0-9_$#@-]+\b")
+    kinds = ((suffix.isin(*COPYBOOKS), "copybook"), (suffix.isin(*DEFINITIONS), "ddl_or_db_file_definition"), (suffix.isin(*JOBS), "job_or_command"), (program, "cobol_program"), (fragment, "cobol_fragment_or_copybook"), (suffix == "sql", "sql_or_ddl"))
+    chain = F
+    for condition, kind in kinds:
+        chain = chain.when(condition, kind)
+    return chain.otherwise("unclassified_text")

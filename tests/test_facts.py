@@ -105,6 +105,8 @@ def test_sources(spark, tmp_path):
     scanned = files.scan(spark, str(tmp_path))
     assert scanned.count() == 3 and [tuple(r) for r in files.excluded(spark, str(tmp_path)).collect()] == [("exe", 1)]
     by = {r.path.rpartition("/")[2]: r for r in files.decoded(scanned).collect()}
+    kinds = spark.createDataFrame([("cpy", MAIN), ("cbl", MAIN), ("pf", ""), ("jcl", ""), ("src", "  01 A PIC 9."), ("sql", "select"), ("txt", "x")], "s string, t string")
+    assert [r.k for r in kinds.select(files.artifact_kind(kinds.s, kinds.t).alias("k")).collect()] == ["copybook", "cobol_program", "ddl_or_db_file_definition", "job_or_command", "cobol_fragment_or_copybook", "sql_or_ddl", "unclassified_text"]
     assert by["x.cbl"].encoding == "utf-8" and by["y.cpy"].encoding != "utf-8" and by["z.cl"].text is None
 
 
