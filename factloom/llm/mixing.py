@@ -60,7 +60,7 @@ def _lookup(values: Mapping[str, object], key: Column, default: object) -> Colum
 
 
 def tokens(text: Column) -> Column:
-    return F.expr("0").cast("long") + F.floor((F.octet_length(F.coalesce(text, F.lit(""))) + 3) / 4).cast("long")
+    return F.floor((F.octet_length(F.coalesce(text, F.lit(""))) + 3) / 4).cast("long")
 
 
 def order(seed: int, epoch: Column, identifier: Column) -> Column:

@@ -25,6 +25,7 @@ as often as they occur; further columns are ignored, whatever their names.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -147,8 +148,6 @@ class _Bucket:
 
 def token_part(words: list[bytes], parts: int) -> np.ndarray:
     """A part for each token by a hash of its bytes that every process computes alike."""
-    import zlib
-
     return np.fromiter((zlib.crc32(w) % parts for w in words), np.int32, len(words))
 
 

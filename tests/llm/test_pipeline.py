@@ -1,7 +1,8 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
-from factloom.llm import mixing, ngram_join, quality
 from factloom.llm.sentencepiece import Vocabulary
 
 
@@ -61,8 +62,6 @@ def test_stages_by_brute_force(spark, tmp_path):
     taken = sum(-(-len(rows[i][1].encode()) // 4) for i in kept[4])
     assert 0.5 * total < taken <= 0.9 * total
     decode = Vocabulary.load().decoder()
-    import numpy as np
-
     assert {(r.doc_id, decode(np.array(r.ids)).decode()) for r in docs.collect()} == {(i, rows[i][1]) for i in kept[4]}
 
 
@@ -76,4 +75,3 @@ def test_run_equals_its_stages(spark, tmp_path):
         stage(spark, docs, path).write.parquet(f"{path}/s{k}")
         docs = spark.read.parquet(f"{path}/s{k}")
     assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in docs.collect())
-    assert quality and ngram_join and mixing
