@@ -7,8 +7,11 @@ aside, form, script, style and the like, or such a word in class, id or role) ta
 1. each block has the ratio of its characters outside links to its tags;
 2. ratios are smoothed along the page with a Gaussian kernel;
 3. blocks above the threshold (the smaller of the deviation and the mean of the smoothed ratios) form clusters;
-4. the content region is the article or main element that holds most of the clustered text, whole; without one,
-   the span of the clusters, including headings directly above and short blocks of the same parent between them.
+4. the content is what is clustered, wherever it stands. An article or main element is evidence only: each one
+   that holds clustered text, itself or in an element within, adds its other blocks, save those below the threshold
+   that are mostly links; beside one, a block must reach the threshold by its own ratio too, not by smoothing alone.
+   Outside such elements the span of the clusters counts, including headings directly above and short blocks of the
+   same parent between them.
 
 with_text() runs in Arrow batches, one pass, no shuffle; memory is one batch and one page's blocks.
 
@@ -55,7 +58,7 @@ class Block:
     link_chars: int
     heading: bool
     parent: int
-    main: int
+    main: tuple[int, ...]  # the open article and main elements
 
 
 @dataclass
@@ -63,7 +66,7 @@ class _Open:
     name: str
     skips: bool
     number: int
-    main: int
+    main: tuple[int, ...]
 
 
 def _named_boilerplate(name: str, attributes: list[tuple[str, str | None]], in_main: bool) -> bool:
@@ -93,14 +96,13 @@ class _Lines(HTMLParser):
         self.number, self.skipping, self.links, self.tags, self.link_chars = 0, 0, 0, 0, 0
         self.pieces: list[str] = []
         self.heading = self.hinted = False
-        self.main_chars: dict[int, int] = {}
 
     def flush(self) -> None:
         if self.pieces:
             text = " ".join("".join(self.pieces).split())
             if text and not self.hinted:
                 top = self.open[-1] if self.open else None
-                self.blocks.append(Block(text, self.tags, self.link_chars, self.heading, top.number if top else 0, top.main if top else 0))
+                self.blocks.append(Block(text, self.tags, self.link_chars, self.heading, top.number if top else 0, top.main if top else ()))
             self.pieces = []
         self.tags = self.link_chars = 0
         self.heading = self.hinted = False
@@ -112,13 +114,13 @@ class _Lines(HTMLParser):
         if tag in BLOCKS and not self.skipping:
             self.flush()
         if tag in CONTAINERS:
-            main = self.open[-1].main if self.open else 0
+            main = self.open[-1].main if self.open else ()
             skips = bool(self.skipping)
             if not skips:
                 skips = tag in SKIPPED or (tag == "header" and not main) or (tag not in ("body", "html") and bool(attrs) and _named_boilerplate(tag, attrs, bool(main)))
             self.number += 1
             if tag in MAIN and not skips:
-                main = self.number if tag == "article" or not main else main
+                main = (*main, self.number)
             self.open.append(_Open(tag, skips, self.number, main))
             self.skipping += skips
         elif not self.skipping:
@@ -186,22 +188,23 @@ def content(blocks: list[Block]) -> list[Block]:
         return []
     ratios = np.array([max(0, len(b.text) - b.link_chars) / max(1, b.tags) for b in blocks], float)
     smoothed = smooth(ratios)
-    above = smoothed >= min(smoothed.std(), smoothed.mean())
-    mass: dict[int, int] = {}
-    for block, inside in zip(blocks, above, strict=True):
-        if block.main:
-            mass[block.main] = mass.get(block.main, 0) + (len(block.text) - block.link_chars if inside else 0)
-    if mass:
-        best = max(mass, key=lambda m: (mass[m], -m))
-        return [b for b in blocks if b.main == best]
-    keep = above & (np.array([b.link_chars for b in blocks]) <= 0.5 * np.array([len(b.text) for b in blocks]))
-    if not keep.any():
-        return []
-    first, last = int(keep.argmax()), len(keep) - 1 - int(keep[::-1].argmax())
-    while first and blocks[first - 1].heading:
-        first -= 1
-    parents = {b.parent for b, k in zip(blocks, keep, strict=True) if k}
-    return [b for i, b in enumerate(blocks) if first <= i <= last and (keep[i] or b.heading or b.parent in parents)]
+    threshold = min(smoothed.std(), smoothed.mean())
+    above = smoothed >= threshold
+    linked = np.array([b.link_chars > 0.5 * len(b.text) for b in blocks])
+    inside = np.array([bool(b.main) for b in blocks])
+    united = {m for b, a in zip(blocks, above, strict=True) if a for m in b.main}
+    keep = above & ~linked & ~inside
+    if united:
+        keep &= ratios >= threshold
+    region = [not united.isdisjoint(b.main) and bool(a or b.heading or not x) for b, a, x in zip(blocks, above, linked, strict=True)]
+    if keep.any():
+        first, last = int(keep.argmax()), len(keep) - 1 - int(keep[::-1].argmax())
+        while first and blocks[first - 1].heading and not inside[first - 1]:
+            first -= 1
+        parents = {b.parent for b, k in zip(blocks, keep, strict=True) if k}
+        for i in range(first, last + 1):
+            region[i] = region[i] or bool(not inside[i] and (keep[i] or blocks[i].heading or blocks[i].parent in parents))
+    return [b for b, r in zip(blocks, region, strict=True) if r]
 
 
 def main_text(html: str | None) -> str:

@@ -26,6 +26,17 @@ def test_without_article_clusters_decide():
     assert H.main_text(page) == "\n\n".join(["Head", long.strip(), "short", long.strip()])
 
 
+def test_clusters_decide_beside_and_across_articles():
+    long = "word " * 60
+    text = long.strip()
+    links = "".join(f'<div><a href="{i}">link {i}</a></div>' for i in range(6))
+    assert H.main_text(f"<main><h1>T</h1><p>intro</p><article><p>{long}</p></article></main>") == f"T\n\nintro\n\n{text}"
+    assert H.main_text(f"<article><p>{long}</p></article>{links}<article><p>{long}</p></article>") == f"{text}\n\n{text}"
+    assert H.main_text(f"<article><p>Teaser</p></article>{links}<div><p>{long}</p></div>") == text
+    assert H.main_text(f"<article><p>{long}</p></article><div>Posted</div>{links}<div><p>{long}</p></div>") == f"{text}\n\n{text}"
+    assert H.main_text(f"<article><p>{long}</p>{links}{links}</article>").startswith(text) and "link 5" not in H.main_text(f"<article><p>{long}</p>{links}{links}</article>")
+
+
 def test_smoothing_equals_definition():
     x = np.random.default_rng(0).random(9)
     for i, y in enumerate(H.smooth(x)):
