@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -53,9 +55,10 @@ def containment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.bfs(_contains(spark, sf_dir), roots, 8)
 
 
-def _supplies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts call suppliers: the bipartite graph of expensive lines."""
-    line = table(spark, sf_dir, "lineitem").where("l_extendedprice > 99000")
+def _supplies(spark: SparkSession, sf_dir: str, whole: bool) -> DataFrame:
+    """Parts call suppliers: the bipartite graph of all lines, or of the expensive ones that the SQL keeps."""
+    line = table(spark, sf_dir, "lineitem")
+    line = line if whole else line.where("l_extendedprice > 99000")
     return line.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst")).distinct()
 
 
@@ -69,8 +72,8 @@ def _both(edges: DataFrame) -> DataFrame:
 
 
 @query("trace_relations", f"WITH RECURSIVE {_SUPPLIES}, {_WALK('u', _SEED, 3)} SELECT node, depth FROM r")
-def trace_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _supplies(spark, sf_dir)
+def trace_relations(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    edges = _supplies(spark, sf_dir, whole)
     return graph.bfs(_both(edges), edges.agg(F.min("src").alias("node")), 3)
 
 
@@ -83,8 +86,8 @@ def _sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("impact_distance", f"WITH RECURSIVE {_SUPPLIES}, {_WALK('u', _SINKS, 4)} SELECT node, depth FROM r")
-def impact_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.bfs(_both(_supplies(spark, sf_dir)), _sinks(spark, sf_dir), 4)
+def impact_distance(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return graph.bfs(_both(_supplies(spark, sf_dir, whole)), _sinks(spark, sf_dir), 4)
 
 
 _HUBS = "h AS (SELECT dst AS node, count(DISTINCT src) AS callers FROM u GROUP BY dst HAVING count(DISTINCT src) >= 14)"
@@ -92,8 +95,8 @@ _HUBS = "h AS (SELECT dst AS node, count(DISTINCT src) AS callers FROM u GROUP B
 
 @query("hub_limited_closure", f"""WITH RECURSIVE {_SUPPLIES}, {_HUBS}, w AS (SELECT node, 0 AS depth FROM ({_SEED}) UNION SELECT dst, depth + 1 FROM w JOIN u ON src = node WHERE depth < 4 AND (depth = 0 OR node NOT IN (SELECT node FROM h)))
     SELECT node, CAST(min(depth) AS BIGINT) AS depth, node IN (SELECT node FROM h) AS hub FROM w GROUP BY node""")
-def hub_limited_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _supplies(spark, sf_dir)
+def hub_limited_closure(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    edges = _supplies(spark, sf_dir, whole)
     both = _both(edges)
     hubs = graph.hubs(both, least=14, share=1_000_000_000)
     reached = graph.bfs(both, edges.agg(F.min("src").alias("node")), 4, hubs)
@@ -101,15 +104,15 @@ def hub_limited_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("outgoing_frontier", f"WITH RECURSIVE {_SUPPLIES}, {_WALK('u', _SEED, 2)} SELECT r.node, count(DISTINCT u.dst) AS n_hidden, 'depth_limit' AS reason FROM r JOIN u ON u.src = r.node WHERE depth = 2 AND u.dst NOT IN (SELECT node FROM r) GROUP BY r.node")
-def outgoing_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _supplies(spark, sf_dir)
+def outgoing_frontier(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    edges = _supplies(spark, sf_dir, whole)
     both = _both(edges)
     return graph.frontier(both, graph.bfs(both, edges.agg(F.min("src").alias("node")), 2), 2)
 
 
 @query("witness_path", f"WITH RECURSIVE {_SUPPLIES}, {_WALK('u', _SINKS, 4)} SELECT r.node, r.depth, min(q.node) AS parent FROM r LEFT JOIN (SELECT u.dst, p.node, p.depth FROM u JOIN r p ON u.src = p.node) q ON q.dst = r.node AND q.depth = r.depth - 1 GROUP BY r.node, r.depth")
-def witness_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = _both(_supplies(spark, sf_dir))
+def witness_path(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    both = _both(_supplies(spark, sf_dir, whole))
     return graph.witnesses(both, graph.bfs(both, _sinks(spark, sf_dir), 4))
 
 
@@ -126,8 +129,8 @@ def backward_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("input_backprop", f"WITH RECURSIVE {_SUPPLIES}, {_WALK('u', _SEED, 4)} SELECT node, depth, depth > 1 AND node IN (SELECT src FROM u JOIN r x ON u.dst = x.node WHERE x.depth = 1) AS cyclic FROM r")
-def input_backprop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _supplies(spark, sf_dir)
+def input_backprop(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    edges = _supplies(spark, sf_dir, whole)
     both = _both(edges)
     reached = graph.bfs(both, edges.agg(F.min("src").alias("node")), 4)
     near = reached.where("depth = 1").select(F.col("node").alias("dst"))
@@ -135,6 +138,11 @@ def input_backprop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reached.join(back, "node", "left").select("node", "depth", ((F.col("depth") > 1) & F.coalesce("cyclic", F.lit(False))).alias("cyclic"))
 
 
+#: The six over the graph of all lines; recursive SQL is too slow there, so they are tested against brute force.
+for _walk in (trace_relations, impact_distance, hub_limited_closure, outgoing_frontier, witness_path, input_backprop):
+    query(f"{_walk.__name__}_whole")(partial(_walk, whole=True))
+
+
 @query("incoming_refs", "SELECT l_suppkey AS target, l_linestatus AS status, count(*) AS n, count(DISTINCT l_partkey) AS sources FROM lineitem GROUP BY ALL")
 def incoming_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("target"), F.col("l_linestatus").alias("status")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("l_partkey").alias("sources"))
