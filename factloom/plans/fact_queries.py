@@ -287,8 +287,10 @@ def first_user_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("call_binding_positions", """SELECT l_orderkey, l_linenumber AS position, l_partkey AS actual, p_partkey AS formal, CASE WHEN p_partkey IS NULL THEN 'unresolved' WHEN p_size >= 40 THEN 'candidate' ELSE 'confirmed' END AS status,
     CASE WHEN p_partkey IS NULL THEN 'formal_missing' WHEN p_size >= 40 THEN 'layout_differs' END AS reason FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_type <> 'PROMO' WHERE l_linenumber <= 2""")
-def call_binding_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").select("l_orderkey", F.col("l_linenumber").alias("position"), F.col("l_partkey").alias("actual"))
+def call_binding_positions(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Actuals bound to formals: at every position, or at the two that the SQL keeps."""
+    line = table(spark, sf_dir, "lineitem")
+    calls = (line if whole else line.where("l_linenumber <= 2")).select("l_orderkey", F.col("l_linenumber").alias("position"), F.col("l_partkey").alias("actual"))
     formals = table(spark, sf_dir, "part").where("p_type <> 'PROMO'").select(F.col("p_partkey").alias("formal"), "p_size")
     missing, differs = F.col("formal").isNull(), F.col("p_size") >= 40
     return calls.join(formals, F.col("actual") == F.col("formal"), "left").select(
@@ -296,6 +298,9 @@ def call_binding_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+query("call_binding_positions_whole")(partial(call_binding_positions, whole=True))
+
+
 @query("reaching_definitions", "SELECT event_id, user_id, last_value(CASE WHEN event_type IN ('signup', 'purchase') THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS definition FROM events")
 def reaching_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _events(spark, sf_dir)

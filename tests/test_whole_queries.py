@@ -52,3 +52,16 @@ def test_graphs_have_all_lines(spark, lines):
     assert rows_of(spark, "input_backprop_whole", path) == {(d > 1 and n in back, d, n) for n, d in four.items()}
     hubs = {n for n, m in near.items() if len(m) >= 14}
     assert rows_of(spark, "hub_limited_closure_whole", path) == {(d, n in hubs, n) for n, d in walk(near, seed, 4, hubs).items()}
+
+
+def test_calls_bind_at_every_position(spark, lines, tmp_path):
+    _, rows, _ = lines
+    parts = {p: ("PROMO" if p % 5 == 0 else "STANDARD", 20 + p) for p in range(1, 24)}
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(p, *x) for p, x in parts.items()], "p_partkey long, p_type string, p_size long").write.parquet(f"{tmp_path}/part.parquet")
+    want = set()
+    for order, position, actual, *_ in rows:
+        kind, size = parts.get(actual, ("PROMO", 0))
+        status, reason = ("unresolved", "formal_missing") if kind == "PROMO" else ("candidate", "layout_differs") if size >= 40 else ("confirmed", None)
+        want.add((actual, None if kind == "PROMO" else actual, order, position, reason, status))
+    assert rows_of(spark, "call_binding_positions_whole", str(tmp_path)) == want
