@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -196,12 +198,16 @@ def catalog_priority_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("concept_cooccurrence", f"""WITH t AS (SELECT doc_id, list_distinct(list_slice({_TOKENS}, 1, 16)) AS terms FROM documents WHERE list_contains({_TOKENS}, 'license')),
     u AS (SELECT doc_id, unnest(terms) AS term FROM t) SELECT term, count(*) AS n FROM u WHERE term <> 'license' GROUP BY term ORDER BY n DESC, term LIMIT 50""")
-def concept_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+def concept_cooccurrence(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Terms by the number of matching texts that hold them: anywhere, or in the first 16 tokens that the SQL keeps."""
     docs = table(spark, sf_dir, "documents").select(X.tokens(F.col("text")).alias("t")).where(F.array_contains("t", "license"))
-    terms = docs.select(F.explode(F.array_distinct(F.slice("t", 1, 16))).alias("term")).where("term <> 'license'")
+    terms = docs.select(F.explode(F.array_distinct("t" if whole else F.slice("t", 1, 16))).alias("term")).where("term <> 'license'")
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(50)
 
 
+query("concept_cooccurrence_whole")(partial(concept_cooccurrence, whole=True))
+
+
 @query("manual_section_score", f"""WITH {_LINE_ROWS}, s AS (SELECT doc_id, line_no, len(list_filter(regexp_extract_all(lower(line), '[a-z0-9_]+'), lambda x: x IN ({_IN(TERMS)}))) AS hits FROM l)
     SELECT doc_id, CAST(sum(hits) + 2 * sum(CASE WHEN line_no = 1 THEN hits ELSE 0 END) AS BIGINT) AS score FROM s GROUP BY doc_id HAVING sum(hits) > 0""")
 def manual_section_score(spark: SparkSession, sf_dir: str) -> DataFrame:

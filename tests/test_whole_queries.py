@@ -65,3 +65,10 @@ def test_calls_bind_at_every_position(spark, lines, tmp_path):
         status, reason = ("unresolved", "formal_missing") if kind == "PROMO" else ("candidate", "layout_differs") if size >= 40 else ("confirmed", None)
         want.add((actual, None if kind == "PROMO" else actual, order, position, reason, status))
     assert rows_of(spark, "call_binding_positions_whole", str(tmp_path)) == want
+
+
+def test_cooccurring_terms_of_the_whole_text(spark, tmp_path):
+    texts = [" ".join(f"w{i % 20}" for i in range(30)) + " license late", "License late late", "late only", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r.term, r.n) for r in registry.QUERIES["concept_cooccurrence_whole"](spark, str(tmp_path)).collect()]
+    assert got == [("late", 2), *sorted((f"w{i}", 1) for i in range(20))]
