@@ -86,6 +86,28 @@ def locate_phrases(docs: DataFrame, phrases: DataFrame, width: int, key: str = "
     return found.join(phrases, "phrase").groupBy("item", key).agg(F.count(F.lit(1)).alias("n"))
 
 
+def locate_whole(docs: DataFrame, items: DataFrame, width: int, key: str = "doc_id") -> DataFrame:
+    """items (item, t: tokens) -> item, key, n: how often the whole token sequence occurs.
+
+    Sequences of up to `width` tokens are windows themselves; for longer ones the first window picks the places and
+    the rest is compared there.
+    """
+    phrase = lambda t: F.array_join(t, " ")
+    texts = docs.select(key, X.tokens(F.col("text")).alias("tokens"))
+    sized = items.select("item", "t", F.size("t").alias("len"))
+    found = None
+    for w in range(1, width + 1):
+        here = sized.where(F.col("len") == w).select("item", phrase("t").alias("phrase"))
+        part = locate_phrases(docs, here, w, key)
+        found = part if found is None else found.unionByName(part)
+    longer = sized.where(F.col("len") > width).select("item", "t", "len", phrase(F.slice("t", 1, width)).alias("head"))
+    places = texts.select(key, F.posexplode(X.windows(F.col("tokens"), width)).alias("at", "head"))
+    at = places.join(longer.select("item", "head"), "head").groupBy(key, "item").agg(F.collect_set("at").alias("ats"))
+    checked = at.join(longer.select("item", "t", "len"), "item").join(texts, key)
+    n = F.size(F.filter("ats", lambda i: F.slice(F.col("tokens"), i + 1, F.col("len")) == F.col("t"))).cast("long")
+    return found.unionByName(checked.select("item", key, n.alias("n")).where("n > 0"))
+
+
 def within_budget(rows: DataFrame, group: str, order: str, size: Column, budget: int) -> DataFrame:
     """Rows of each group in order while their running size fits the budget, and whether anything was left out."""
     node = Window.partitionBy(group)

@@ -150,6 +150,13 @@ def literal_global_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.locate_phrases(table(spark, sf_dir, "documents"), heads.select("item", F.array_join(F.slice("t", 1, 6), " ").alias("phrase")), 6)
 
 
+@query("literal_global_page_whole")
+def literal_global_page_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item by all its tokens; literal_global_page, like its SQL, looks at the first six of longer ones only."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), X.tokens(F.col("text")).alias("t")).where("size(t) > 0")
+    return search.locate_whole(table(spark, sf_dir, "documents"), items, 6)
+
+
 @query("ngram_signature", """WITH c AS (SELECT doc_id, list_transform(string_split(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9 ]', '', 'g'), ''), lambda x: ascii(x)) AS a FROM documents),
     p AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(a) - 1, 1)), lambda i: (((a[i] % 8192) * 131 + a[i + 1]) % 8192 * 131 + a[i + 2]) % 8192))) AS probe FROM c)
     SELECT doc_id, count(*) AS n_probes, CAST(sum(probe) AS BIGINT) AS probe_sum FROM p GROUP BY doc_id""")

@@ -1,5 +1,7 @@
 """Queries over whole tables, compared with brute force on small fixtures."""
 
+import re
+
 import pytest
 
 from factloom.plans import registry
@@ -72,3 +74,18 @@ def test_cooccurring_terms_of_the_whole_text(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = [(r.term, r.n) for r in registry.QUERIES["concept_cooccurrence_whole"](spark, str(tmp_path)).collect()]
     assert got == [("late", 2), *sorted((f"w{i}", 1) for i in range(20))]
+
+
+def test_literals_are_located_whole(spark, tmp_path):
+    items = [(0, "a b c d e f g h"), (1, "x y"), (2, "a b c d e f"), (3, ""), (4, None), (5, "y")]
+    texts = ["A b, c d e f g h. a b c d e f g h", "a b c d e f only", "c d e f g h", "xx y x y", None]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    tokens = lambda text: re.findall("[a-z0-9_]+", (text or "").lower())
+    want = set()
+    for item, literal in items:
+        for doc, text in enumerate(texts):
+            t, x = tokens(literal), tokens(text)
+            n = sum(x[i : i + len(t)] == t for i in range(len(x))) if t else 0
+            want |= {(doc, item, n)} if n else set()
+    assert (0, 0, 2) in want and rows_of(spark, "literal_global_page_whole", str(tmp_path)) == want
