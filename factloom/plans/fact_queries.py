@@ -98,7 +98,7 @@ _HUBS = "h AS (SELECT dst AS node, count(DISTINCT src) AS callers FROM u GROUP B
 def hub_limited_closure(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     edges = _supplies(spark, sf_dir, whole)
     both = _both(edges)
-    hubs = graph.hubs(both, least=14, share=1_000_000_000)
+    hubs = graph.hubs(both) if whole else graph.hubs(both, least=14, share=1_000_000_000)  # the SQL's cut-off
     reached = graph.bfs(both, edges.agg(F.min("src").alias("node")), 4, hubs)
     return reached.join(hubs.withColumn("hub", F.lit(True)).select("node", "hub"), "node", "left").select("node", "depth", F.coalesce("hub", F.lit(False)).alias("hub"))
 

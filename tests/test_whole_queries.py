@@ -89,3 +89,14 @@ def test_literals_are_located_whole(spark, tmp_path):
             n = sum(x[i : i + len(t)] == t for i in range(len(x))) if t else 0
             want |= {(doc, item, n)} if n else set()
     assert (0, 0, 2) in want and rows_of(spark, "literal_global_page_whole", str(tmp_path)) == want
+
+
+def test_hubs_by_share_of_nodes(spark, tmp_path):
+    star = [(i, 1, i, s, 10.0) for s, parts in ((1, range(1, 11)), (2, range(10, 13)), (3, [1, 40])) for i in parts]
+    spark.createDataFrame(star, "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    edges = {(f"p{x[2]}", f"s{x[3]}") for x in star}
+    near = neighbours(edges)
+    hubs = {n for n, m in near.items() if len(m) >= max(8, -(-len(near) // 4))}
+    assert hubs == {"s1"}
+    want = {(d, n in hubs, n) for n, d in walk(near, [min(a for a, _ in edges)], 4, hubs).items()}
+    assert rows_of(spark, "hub_limited_closure_whole", str(tmp_path)) == want
