@@ -66,10 +66,10 @@ def _measures(data: np.ndarray, at: np.ndarray) -> np.ndarray:
         if words:
             m = len(words)
             out[i, 9] = sum(map(eq, words, words[1:])) / m
-            # distinct words in windows of one size, so that long texts do not look repetitive
-            ratios = [len(set(words[k : k + WINDOW])) / min(WINDOW, m - k) for k in range(0, max(1, m - WINDOW // 2), WINDOW)]
-            out[i, 10] = sum(ratios) / len(ratios)
-            out[i, 11] = sum(r < 0.5 for r in ratios) / len(ratios)
+            # distinct words in windows of one size, so that long texts do not look repetitive; a window counts by its words
+            held = [(len(set(words[k : k + WINDOW])), min(WINDOW, m - k)) for k in range(0, m, WINDOW)]
+            out[i, 10] = sum(d for d, _ in held) / m
+            out[i, 11] = sum(n for d, n in held if 2 * d < n) / m
             out[i, 12] = min(size[i] / m, 40) / 10
             out[i, 13] = sum(w.isalpha() or not w.isascii() for w in words) / m
             out[i, 14] = sum(len(w) == 1 for w in words) / m

@@ -52,6 +52,12 @@ def test_measures_do_not_depend_on_length():
     assert (quality.content_view(pa.array([None, ""])) == 0).all()
 
 
+def test_repetition_is_seen_to_the_last_word():
+    plain, closing = quality.content_view(pa.array([" ".join(f"w{i}" for i in range(37)), " ".join([f"w{i}" for i in range(25)] + ["x"] * 12)]))
+    assert (plain[10], plain[11]) == (1.0, 0.0)
+    assert (closing[10], closing[11]) == (26 / 37, 12 / 37)
+
+
 def test_calibrated_views_exchange_labels():
     rng = np.random.default_rng(0)
     y = rng.integers(0, 2, 900)
