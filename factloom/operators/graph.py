@@ -9,13 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.storage import materialize
+from factloom.storage import materialize, release
 
 
 def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, hubs: DataFrame | None = None) -> DataFrame:
     """edges (src, dst), seeds (node) -> node, depth: the least number of edges from any seed, up to max_depth.
 
-    Nodes in hubs are reached but not expanded, unless they are seeds.
+    Nodes in hubs are reached but not expanded, unless they are seeds. Each level is one table; the levels are what the
+    result reads, and the copy of the edges is released once they are written.
     """
     edges = materialize(edges.where("src is not null and dst is not null").select("src", "dst").distinct(), "bfs-edges")
     reached = materialize(seeds.select("node").distinct().withColumn("depth", F.lit(0).cast("long")), "bfs")
@@ -25,8 +26,10 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, hubs: DataFrame | No
         step = start.join(edges, start.node == edges.src).select(F.col("dst").alias("node")).distinct().join(reached, "node", "left_anti")
         newest = materialize(step.withColumn("depth", F.lit(depth).cast("long")), "bfs")
         if newest.isEmpty():
+            release(newest)
             break
         reached = reached.unionByName(newest)
+    release(edges)
     return reached
 
 

@@ -7,6 +7,7 @@ on the postings; statistics of the corpus are one row. Every order ends in a uni
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,9 +16,21 @@ from pyspark.sql.window import Window
 from factloom.functions import text as X
 
 
+def counted(tokens: Column) -> Column:
+    """term -> occurrences of one text, counted inside its row: runs of the sorted tokens."""
+
+    def run(v: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(1), F.size(v)), lambda i: (i == 1) | (F.element_at(v, i) != F.element_at(v, F.greatest(i - 1, F.lit(1)))))
+        following = lambda at, k: F.coalesce(F.get(at, k + 1), F.size(v) + 1)
+        runs = X.once(first, lambda at: F.transform(at, lambda i, k: F.struct(F.element_at(v, i).alias("term"), (following(at, k) - i).cast("long").alias("tf"))))
+        return F.when(F.size(v) > 0, runs).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
+
+    return X.once(F.array_sort(tokens), run)
+
+
 def postings(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """term, key, tf: how often each term occurs in each text."""
-    return docs.select(key, F.explode(X.tokens(F.col("text"))).alias("term")).groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"))
+    """term, key, tf: how often each term occurs in each text. One pass, no shuffle: a row holds all of its tokens."""
+    return docs.select(key, F.explode(counted(X.tokens(F.col("text")))).alias("one")).select("one.term", key, "one.tf")
 
 
 def routes(posted: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -26,9 +39,10 @@ def routes(posted: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def hits(docs: DataFrame, terms: Sequence[str], key: str = "doc_id") -> DataFrame:
-    """term, key, tf for the given terms only: filtered inside each text, before any shuffle."""
-    wanted = F.filter(X.tokens(F.col("text")), lambda t: t.isin(*terms))
-    return docs.select(key, F.explode(wanted).alias("term")).groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"))
+    """term, key, tf for the given terms only, counted inside each text."""
+    wanted = F.array(*map(F.lit, dict.fromkeys(terms)))
+    count = X.once(X.tokens(F.col("text")), lambda v: F.transform(F.array_intersect(wanted, v), lambda t: F.struct(t.alias("term"), F.size(F.filter(v, lambda x: x == t)).cast("long").alias("tf"))))
+    return docs.select(key, F.explode(count).alias("one")).select("one.term", key, "one.tf")
 
 
 def any_term(docs: DataFrame, terms: Sequence[str], limit: int, key: str = "doc_id") -> DataFrame:
@@ -80,32 +94,39 @@ def locate(lines: DataFrame, literal: str) -> DataFrame:
     return lines.where(F.contains(F.lower("line"), F.lit(literal.lower())))
 
 
-def locate_phrases(docs: DataFrame, phrases: DataFrame, width: int, key: str = "doc_id") -> DataFrame:
-    """phrases (item, phrase of `width` tokens) -> item, key, n: an equi-join on windows, so no pairs are tried."""
-    found = docs.select(key, F.explode(X.windows(X.tokens(F.col("text")), width)).alias("phrase"))
-    return found.join(phrases, "phrase").groupBy("item", key).agg(F.count(F.lit(1)).alias("n"))
-
-
-def locate_whole(docs: DataFrame, items: DataFrame, width: int, key: str = "doc_id") -> DataFrame:
+def locate_whole(docs: DataFrame, items: DataFrame, key: str = "doc_id", head: int = 3, bound: int = 20_000) -> DataFrame:
     """items (item, t: tokens) -> item, key, n: how often the whole token sequence occurs.
 
-    Sequences of up to `width` tokens are windows themselves; for longer ones the first window picks the places and
-    the rest is compared there.
+    Places are picked by the first tokens of the items (up to `head` of them) and verified there against all tokens.
+    While there are at most `bound` different beginnings, they are tested inside each row, so only promising places
+    leave it; beyond, every place goes to the same join. The join is on the beginning, so no pairs are tried.
     """
-    phrase = lambda t: F.array_join(t, " ")
-    texts = docs.select(key, X.tokens(F.col("text")).alias("tokens"))
-    sized = items.select("item", "t", F.size("t").alias("len"))
-    found = None
-    for w in range(1, width + 1):
-        here = sized.where(F.col("len") == w).select("item", phrase("t").alias("phrase"))
-        part = locate_phrases(docs, here, w, key)
-        found = part if found is None else found.unionByName(part)
-    longer = sized.where(F.col("len") > width).select("item", "t", "len", phrase(F.slice("t", 1, width)).alias("head"))
-    places = texts.select(key, F.posexplode(X.windows(F.col("tokens"), width)).alias("at", "head"))
-    at = places.join(longer.select("item", "head"), "head").groupBy(key, "item").agg(F.collect_set("at").alias("ats"))
-    checked = at.join(longer.select("item", "t", "len"), "item").join(texts, key)
-    n = F.size(F.filter("ats", lambda i: F.slice(F.col("tokens"), i + 1, F.col("len")) == F.col("t"))).cast("long")
-    return found.unionByName(checked.select("item", key, n.alias("n")).where("n > 0"))
+    sized = items.where("size(t) > 0").select("item", "t", F.size("t").alias("len")).withColumn("width", F.least("len", F.lit(head)))
+    sized = sized.withColumn("head", F.array_join(F.slice("t", 1, head), " "))
+    starts = sized.select("width", "head").distinct().limit(bound + 1).collect()
+    longest = sized.agg(F.max("len")).first()[0] or 0
+    widths = sorted({r.width for r in starts}) if len(starts) <= bound else list(range(1, head + 1))
+
+    def places(v: Column) -> Column:
+        def at(i: Column) -> Column:
+            phrase = lambda w: F.array_join(F.slice(v, i, w), " ")
+            every = F.array(*(F.struct(F.lit(w).alias("width"), phrase(w).alias("head")) for w in widths))
+            return F.struct(F.slice(v, i, max(longest, 1)).alias("rest"), every.alias("heads"))
+
+        spots = F.sequence(F.lit(1), F.greatest(F.size(v), F.lit(1)))
+        if len(starts) <= bound:
+            first = sorted({r.head.split(" ")[0] for r in starts})
+            by_width = {w: sorted(r.head for r in starts if r.width == w) for w in widths}
+            spots = F.filter(spots, lambda i: F.coalesce(F.get(v, i - 1).isin(*first), F.lit(False)))
+            hit = lambda i: reduce(lambda a, b: a | b, (F.array_join(F.slice(v, i, w), " ").isin(*by_width[w]) for w in widths))
+            spots = F.filter(spots, hit)
+        return F.transform(spots, at)
+
+    if not widths:
+        return docs.select(F.lit(None).cast(sized.schema["item"].dataType).alias("item"), key, F.lit(0).cast("long").alias("n")).limit(0)
+    found = docs.select(key, F.explode(X.once(X.tokens(F.col("text")), places)).alias("p")).select(key, "p.rest", F.explode("p.heads").alias("h")).select(key, "rest", "h.width", "h.head")
+    hit = found.join(sized, ["width", "head"]).where(F.slice("rest", 1, F.col("len")) == F.col("t"))
+    return hit.groupBy("item", key).agg(F.count(F.lit(1)).alias("n"))
 
 
 def within_budget(rows: DataFrame, group: str, order: str, size: Column, budget: int) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,11 +12,11 @@ from factloom.plans.text_queries import _BM25, _LINE_ROWS, TERMS
 from factloom.storage import table
 
 
-@query("resolve_status", """WITH s AS (SELECT s_nationkey AS n, count(*) AS c, min(s_suppkey) AS first_id FROM supplier WHERE s_acctbal > 6000 GROUP BY 1)
+@query("resolve_status", """WITH s AS (SELECT s_nationkey AS n, count(*) AS c, min(s_suppkey) AS first_id FROM supplier GROUP BY 1)
     SELECT c_custkey, CASE WHEN c IS NULL THEN 'unresolved' WHEN c = 1 THEN 'confirmed' ELSE 'candidate' END AS status, CASE WHEN c IS NULL THEN 'no_definition' WHEN c > 1 THEN 'several_definitions' END AS reason, CASE WHEN c = 1 THEN first_id END AS target
     FROM customer LEFT JOIN s ON c_nationkey = n""")
 def resolve_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = table(spark, sf_dir, "supplier").where("s_acctbal > 6000").groupBy(F.col("s_nationkey").alias("c_nationkey")).agg(F.count(F.lit(1)).alias("n"), F.min("s_suppkey").alias("first_id"))
+    known = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("c_nationkey")).agg(F.count(F.lit(1)).alias("n"), F.min("s_suppkey").alias("first_id"))
     n = F.col("n")
     return table(spark, sf_dir, "customer").join(known, "c_nationkey", "left").select(
         "c_custkey", F.when(n.isNull(), "unresolved").when(n == 1, "confirmed").otherwise("candidate").alias("status"),
@@ -55,14 +53,13 @@ def containment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.bfs(_contains(spark, sf_dir), roots, 8)
 
 
-def _supplies(spark: SparkSession, sf_dir: str, whole: bool) -> DataFrame:
-    """Parts call suppliers: the bipartite graph of all lines, or of the expensive ones that the SQL keeps."""
+def _supplies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts call suppliers: the bipartite graph of all lines."""
     line = table(spark, sf_dir, "lineitem")
-    line = line if whole else line.where("l_extendedprice > 99000")
     return line.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst")).distinct()
 
 
-_SUPPLIES = "e AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem WHERE l_extendedprice > 99000), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
+_SUPPLIES = "e AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
 _WALK = lambda edges, seed, depth: f"w AS (SELECT node, 0 AS depth FROM ({seed}) UNION SELECT dst, depth + 1 FROM w JOIN {edges} ON src = node WHERE depth < {depth}), r AS (SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM w GROUP BY node)"
 _SEED = "SELECT min(src) AS node FROM e"
 
@@ -72,8 +69,8 @@ def _both(edges: DataFrame) -> DataFrame:
 
 
 @query("trace_relations", f"WITH RECURSIVE {_SUPPLIES}, {_WALK('u', _SEED, 3)} SELECT node, depth FROM r")
-def trace_relations(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    edges = _supplies(spark, sf_dir, whole)
+def trace_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = _supplies(spark, sf_dir)
     return graph.bfs(_both(edges), edges.agg(F.min("src").alias("node")), 3)
 
 
@@ -86,33 +83,33 @@ def _sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("impact_distance", f"WITH RECURSIVE {_SUPPLIES}, {_WALK('u', _SINKS, 4)} SELECT node, depth FROM r")
-def impact_distance(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return graph.bfs(_both(_supplies(spark, sf_dir, whole)), _sinks(spark, sf_dir), 4)
+def impact_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.bfs(_both(_supplies(spark, sf_dir)), _sinks(spark, sf_dir), 4)
 
 
-_HUBS = "h AS (SELECT dst AS node, count(DISTINCT src) AS callers FROM u GROUP BY dst HAVING count(DISTINCT src) >= 14)"
+_HUBS = "h AS (SELECT dst AS node, count(DISTINCT src) AS callers FROM u GROUP BY dst HAVING count(DISTINCT src) >= greatest(8, (SELECT ceil(count(DISTINCT src) / 4.0) FROM u)))"
 
 
 @query("hub_limited_closure", f"""WITH RECURSIVE {_SUPPLIES}, {_HUBS}, w AS (SELECT node, 0 AS depth FROM ({_SEED}) UNION SELECT dst, depth + 1 FROM w JOIN u ON src = node WHERE depth < 4 AND (depth = 0 OR node NOT IN (SELECT node FROM h)))
     SELECT node, CAST(min(depth) AS BIGINT) AS depth, node IN (SELECT node FROM h) AS hub FROM w GROUP BY node""")
-def hub_limited_closure(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    edges = _supplies(spark, sf_dir, whole)
+def hub_limited_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = _supplies(spark, sf_dir)
     both = _both(edges)
-    hubs = graph.hubs(both) if whole else graph.hubs(both, least=14, share=1_000_000_000)  # the SQL's cut-off
+    hubs = graph.hubs(both)
     reached = graph.bfs(both, edges.agg(F.min("src").alias("node")), 4, hubs)
     return reached.join(hubs.withColumn("hub", F.lit(True)).select("node", "hub"), "node", "left").select("node", "depth", F.coalesce("hub", F.lit(False)).alias("hub"))
 
 
 @query("outgoing_frontier", f"WITH RECURSIVE {_SUPPLIES}, {_WALK('u', _SEED, 2)} SELECT r.node, count(DISTINCT u.dst) AS n_hidden, 'depth_limit' AS reason FROM r JOIN u ON u.src = r.node WHERE depth = 2 AND u.dst NOT IN (SELECT node FROM r) GROUP BY r.node")
-def outgoing_frontier(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    edges = _supplies(spark, sf_dir, whole)
+def outgoing_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = _supplies(spark, sf_dir)
     both = _both(edges)
     return graph.frontier(both, graph.bfs(both, edges.agg(F.min("src").alias("node")), 2), 2)
 
 
 @query("witness_path", f"WITH RECURSIVE {_SUPPLIES}, {_WALK('u', _SINKS, 4)} SELECT r.node, r.depth, min(q.node) AS parent FROM r LEFT JOIN (SELECT u.dst, p.node, p.depth FROM u JOIN r p ON u.src = p.node) q ON q.dst = r.node AND q.depth = r.depth - 1 GROUP BY r.node, r.depth")
-def witness_path(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    both = _both(_supplies(spark, sf_dir, whole))
+def witness_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = _both(_supplies(spark, sf_dir))
     return graph.witnesses(both, graph.bfs(both, _sinks(spark, sf_dir), 4))
 
 
@@ -129,8 +126,8 @@ def backward_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("input_backprop", f"WITH RECURSIVE {_SUPPLIES}, {_WALK('u', _SEED, 4)} SELECT node, depth, depth > 1 AND node IN (SELECT src FROM u JOIN r x ON u.dst = x.node WHERE x.depth = 1) AS cyclic FROM r")
-def input_backprop(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    edges = _supplies(spark, sf_dir, whole)
+def input_backprop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = _supplies(spark, sf_dir)
     both = _both(edges)
     reached = graph.bfs(both, edges.agg(F.min("src").alias("node")), 4)
     near = reached.where("depth = 1").select(F.col("node").alias("dst"))
@@ -138,20 +135,15 @@ def input_backprop(spark: SparkSession, sf_dir: str, whole: bool = False) -> Dat
     return reached.join(back, "node", "left").select("node", "depth", ((F.col("depth") > 1) & F.coalesce("cyclic", F.lit(False))).alias("cyclic"))
 
 
-#: The six over the graph of all lines; recursive SQL is too slow there, so they are tested against brute force.
-for _walk in (trace_relations, impact_distance, hub_limited_closure, outgoing_frontier, witness_path, input_backprop):
-    query(f"{_walk.__name__}_whole")(partial(_walk, whole=True))
-
-
 @query("incoming_refs", "SELECT l_suppkey AS target, l_linestatus AS status, count(*) AS n, count(DISTINCT l_partkey) AS sources FROM lineitem GROUP BY ALL")
 def incoming_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("target"), F.col("l_linestatus").alias("status")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("l_partkey").alias("sources"))
 
 
-@query("neighbour_links", """WITH l AS (SELECT l_orderkey AS a, l_partkey AS b FROM lineitem), n AS (SELECT o_orderkey AS id, 'out' AS way, b AS other FROM orders JOIN l ON a = o_orderkey WHERE o_totalprice > 480000 UNION SELECT o_orderkey, 'customer', o_custkey FROM orders WHERE o_totalprice > 480000)
+@query("neighbour_links", """WITH l AS (SELECT l_orderkey AS a, l_partkey AS b FROM lineitem), n AS (SELECT o_orderkey AS id, 'out' AS way, b AS other FROM orders JOIN l ON a = o_orderkey UNION SELECT o_orderkey, 'customer', o_custkey FROM orders)
     SELECT id, way, other FROM n QUALIFY row_number() OVER (PARTITION BY id ORDER BY way, other) <= 5""")
 def neighbour_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").where("o_totalprice > 480000")
+    orders = table(spark, sf_dir, "orders")
     line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("other"))
     out = orders.select(F.col("o_orderkey").alias("id")).join(line, "id").select("id", F.lit("out").alias("way"), "other")
     both = out.union(orders.select(F.col("o_orderkey"), F.lit("customer"), F.col("o_custkey"))).distinct()
@@ -286,11 +278,10 @@ def first_user_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("call_binding_positions", """SELECT l_orderkey, l_linenumber AS position, l_partkey AS actual, p_partkey AS formal, CASE WHEN p_partkey IS NULL THEN 'unresolved' WHEN p_size >= 40 THEN 'candidate' ELSE 'confirmed' END AS status,
-    CASE WHEN p_partkey IS NULL THEN 'formal_missing' WHEN p_size >= 40 THEN 'layout_differs' END AS reason FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_type <> 'PROMO' WHERE l_linenumber <= 2""")
-def call_binding_positions(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Actuals bound to formals: at every position, or at the two that the SQL keeps."""
-    line = table(spark, sf_dir, "lineitem")
-    calls = (line if whole else line.where("l_linenumber <= 2")).select("l_orderkey", F.col("l_linenumber").alias("position"), F.col("l_partkey").alias("actual"))
+    CASE WHEN p_partkey IS NULL THEN 'formal_missing' WHEN p_size >= 40 THEN 'layout_differs' END AS reason FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_type <> 'PROMO'""")
+def call_binding_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actuals bound to formals at every position."""
+    calls = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("position"), F.col("l_partkey").alias("actual"))
     formals = table(spark, sf_dir, "part").where("p_type <> 'PROMO'").select(F.col("p_partkey").alias("formal"), "p_size")
     missing, differs = F.col("formal").isNull(), F.col("p_size") >= 40
     return calls.join(formals, F.col("actual") == F.col("formal"), "left").select(
@@ -298,9 +289,6 @@ def call_binding_positions(spark: SparkSession, sf_dir: str, whole: bool = False
     )
 
 
-query("call_binding_positions_whole")(partial(call_binding_positions, whole=True))
-
-
 @query("reaching_definitions", "SELECT event_id, user_id, last_value(CASE WHEN event_type IN ('signup', 'purchase') THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS definition FROM events")
 def reaching_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _events(spark, sf_dir)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,6 +9,7 @@ from pyspark.sql.window import Window
 from factloom.functions import text as X
 from factloom.operators import corpus, search
 from factloom.plans.registry import query
+from factloom.sources import files
 from factloom.storage import table
 
 TERMS = ["erthion", "license", "the", "ention", "version", "que", "idiot"]
@@ -54,12 +53,20 @@ def physical_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.physical_lines(table(spark, sf_dir, "documents"))
 
 
-@query("artifact_kinds", """SELECT page_id, CASE WHEN regexp_matches(url, '/(en|de|fr|es)/[0-9]+/?$') THEN 'article' WHEN regexp_matches(url, '[?&]') THEN 'parameterised' WHEN contains(url, '#') THEN 'fragment' ELSE 'other' END AS kind,
-    regexp_matches(html, '<script') AS scripted, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang FROM pages""")
+_PROGRAM = r"(?im)^.{0,11}(PROGRAM-ID\s*\.|\bPROCEDURE\s+DIVISION\b)"
+_FRAGMENT = r"(?im)(^.{0,11}\bDATA\s+DIVISION\b|^\s*(01|77|78)\s+[A-Z0-9_$#@-]+\b)"
+
+
+@query("artifact_kinds", f"""WITH f AS (SELECT 'page' AS origin, page_id AS id, coalesce(lower(regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1)), '') AS suffix, coalesce(html, '') AS body FROM pages UNION ALL SELECT 'document', doc_id, 'txt', coalesce(text, '') FROM documents)
+    SELECT origin, id, CASE WHEN suffix IN ('cpy', 'copy', 'cpb') THEN 'copybook' WHEN suffix IN ('ddl', 'dds', 'pf', 'lf') THEN 'ddl_or_db_file_definition' WHEN suffix IN ('cl', 'clle', 'clp', 'jcl', 'job') THEN 'job_or_command'
+    WHEN regexp_matches(body, '{_PROGRAM}') THEN 'cobol_program' WHEN regexp_matches(body, '{_FRAGMENT}') THEN 'cobol_fragment_or_copybook' WHEN suffix = 'sql' THEN 'sql_or_ddl' ELSE 'unclassified_text' END AS kind,
+    contains(lower(body), '<script') AS scripted, regexp_extract(body, '<html lang="([a-z]+)"', 1) AS lang FROM f""")
 def artifact_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    url = F.col("url")
-    kind = F.when(url.rlike("/(en|de|fr|es)/[0-9]+/?$"), "article").when(url.rlike("[?&]"), "parameterised").when(url.contains("#"), "fragment").otherwise("other")
-    return table(spark, sf_dir, "pages").select("page_id", kind.alias("kind"), F.col("html").rlike("<script").alias("scripted"), F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("lang"))
+    """Pages and documents as artifacts: by suffix first, then by what the text holds."""
+    pages = table(spark, sf_dir, "pages").select(F.lit("page").alias("origin"), F.col("page_id").alias("id"), F.lower(F.regexp_extract("url", r"\.([A-Za-z0-9]+)$", 1)).alias("suffix"), F.coalesce("html", F.lit("")).alias("body"))
+    docs = table(spark, sf_dir, "documents").select(F.lit("document"), "doc_id", F.lit("txt"), F.coalesce("text", F.lit("")))
+    every = pages.union(docs)
+    return every.select("origin", "id", files.artifact_kind(F.col("suffix"), F.col("body")).alias("kind"), F.lower("body").contains("<script").alias("scripted"), F.regexp_extract("body", '<html lang="([a-z]+)"', 1).alias("lang"))
 
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -142,19 +149,13 @@ def literal_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.locate(corpus.physical_lines(table(spark, sf_dir, "documents")), "License")
 
 
-@query("literal_global_page", f"""WITH b AS (SELECT item_id AS item, array_to_string(list_slice({_TOKENS}, 1, 6), ' ') AS phrase FROM benchmark WHERE len({_TOKENS}) >= 6),
-    d AS (SELECT doc_id, {_TOKENS} AS toks FROM documents), w AS (SELECT doc_id, array_to_string(list_slice(toks, i, i + 5), ' ') AS phrase FROM (SELECT doc_id, toks, unnest(range(1, len(toks) - 4)) AS i FROM d))
-    SELECT item, doc_id, count(*) AS n FROM w JOIN b USING (phrase) GROUP BY item, doc_id""")
+@query("literal_global_page", f"""WITH b AS (SELECT item_id AS item, {_TOKENS} AS t FROM benchmark), d AS (SELECT doc_id, {_TOKENS} AS toks FROM documents),
+    p AS (SELECT doc_id, toks, unnest(range(1, len(toks) + 1)) AS i FROM d)
+    SELECT item, doc_id, count(*) AS n FROM (SELECT doc_id, toks, i, toks[i] AS first FROM p) x JOIN (SELECT item, t, t[1] AS first FROM b WHERE len(t) > 0) y USING (first) WHERE list_slice(toks, i, i + len(t) - 1) = t GROUP BY item, doc_id ORDER BY item, doc_id LIMIT 500""")
 def literal_global_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heads = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), X.tokens(F.col("text")).alias("t")).where("size(t) >= 6")
-    return search.locate_phrases(table(spark, sf_dir, "documents"), heads.select("item", F.array_join(F.slice("t", 1, 6), " ").alias("phrase")), 6)
-
-
-@query("literal_global_page_whole")
-def literal_global_page_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every item by all its tokens; literal_global_page, like its SQL, looks at the first six of longer ones only."""
+    """The first page of all places of all items, by every token of an item."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), X.tokens(F.col("text")).alias("t")).where("size(t) > 0")
-    return search.locate_whole(table(spark, sf_dir, "documents"), items, 6)
+    return search.locate_whole(table(spark, sf_dir, "documents"), items).orderBy("item", "doc_id").limit(500)
 
 
 @query("ngram_signature", """WITH c AS (SELECT doc_id, list_transform(string_split(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9 ]', '', 'g'), ''), lambda x: ascii(x)) AS a FROM documents),
@@ -203,18 +204,15 @@ def catalog_priority_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.withColumn("place", F.row_number().over(Window.partitionBy("name").orderBy(rank, "id")).cast("long")).where("place <= 5")
 
 
-@query("concept_cooccurrence", f"""WITH t AS (SELECT doc_id, list_distinct(list_slice({_TOKENS}, 1, 16)) AS terms FROM documents WHERE list_contains({_TOKENS}, 'license')),
+@query("concept_cooccurrence", f"""WITH t AS (SELECT doc_id, list_distinct({_TOKENS}) AS terms FROM documents WHERE list_contains({_TOKENS}, 'license')),
     u AS (SELECT doc_id, unnest(terms) AS term FROM t) SELECT term, count(*) AS n FROM u WHERE term <> 'license' GROUP BY term ORDER BY n DESC, term LIMIT 50""")
-def concept_cooccurrence(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Terms by the number of matching texts that hold them: anywhere, or in the first 16 tokens that the SQL keeps."""
+def concept_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms by the number of matching texts that hold them."""
     docs = table(spark, sf_dir, "documents").select(X.tokens(F.col("text")).alias("t")).where(F.array_contains("t", "license"))
-    terms = docs.select(F.explode(F.array_distinct("t" if whole else F.slice("t", 1, 16))).alias("term")).where("term <> 'license'")
+    terms = docs.select(F.explode(F.array_distinct("t")).alias("term")).where("term <> 'license'")
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(50)
 
 
-query("concept_cooccurrence_whole")(partial(concept_cooccurrence, whole=True))
-
-
 @query("manual_section_score", f"""WITH {_LINE_ROWS}, s AS (SELECT doc_id, line_no, len(list_filter(regexp_extract_all(lower(line), '[a-z0-9_]+'), lambda x: x IN ({_IN(TERMS)}))) AS hits FROM l)
     SELECT doc_id, CAST(sum(hits) + 2 * sum(CASE WHEN line_no = 1 THEN hits ELSE 0 END) AS BIGINT) AS score FROM s GROUP BY doc_id HAVING sum(hits) > 0""")
 def manual_section_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,10 +69,13 @@ def decoded(files: DataFrame) -> DataFrame:
 
 
 def artifact_kind(suffix: Column, text: Column) -> Column:
-    """What a file is: the suffixes of copybooks, definitions and jobs decide before its text does."""
-    division = lambda name: text.rlike(rf"(?im)^.{{0,11}}\b{name}\s+DIVISION\b")
-    program = text.rlike(r"(?im)^.{0,11}PROGRAM-ID\s*\.") | division("PROCEDURE")
-    fragment = division("DATA") | text.rlike(r"(?im)^\s*(01|77|78)\s+[A-Z0-9_$#@-]+\b")
+    """What a file is: the suffixes of copybooks, definitions and jobs decide before its text does.
+
+    A text is a program if it names one or has code, and a fragment if it only declares data: a data division, or an
+    item of level 01, 77 or 78 at the start of a line.
+    """
+    program = text.rlike(r"(?im)^.{0,11}(PROGRAM-ID\s*\.|\bPROCEDURE\s+DIVISION\b)")
+    fragment = text.rlike(r"(?im)(^.{0,11}\bDATA\s+DIVISION\b|^\s*(01|77|78)\s+[A-Z0-9_$#@-]+\b)")
     kinds = ((suffix.isin(*COPYBOOKS), "copybook"), (suffix.isin(*DEFINITIONS), "ddl_or_db_file_definition"), (suffix.isin(*JOBS), "job_or_command"), (program, "cobol_program"), (fragment, "cobol_fragment_or_copybook"), (suffix == "sql", "sql_or_ddl"))
     chain = F
     for condition, kind in kinds:

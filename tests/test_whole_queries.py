@@ -41,19 +41,19 @@ def test_graphs_have_all_lines(spark, lines):
     path, _, edges = lines
     near, seed = neighbours(edges), [min(a for a, _ in edges)]
     sinks = [f"s{i}" for i in (2, 50)]
-    assert rows_of(spark, "trace_relations_whole", path) == {(d, n) for n, d in walk(near, seed, 3).items()}
+    assert rows_of(spark, "trace_relations", path) == {(d, n) for n, d in walk(near, seed, 3).items()}
     far = walk(near, sinks, 4)
-    assert ("p100" in far) and rows_of(spark, "impact_distance_whole", path) == {(d, n) for n, d in far.items()}
+    assert ("p100" in far) and rows_of(spark, "impact_distance", path) == {(d, n) for n, d in far.items()}
     parent = lambda n: min((m for m in near.get(n, ()) if far.get(m) == far[n] - 1), default=None)
-    assert rows_of(spark, "witness_path_whole", path) == {(d, n, parent(n)) for n, d in far.items()}
+    assert rows_of(spark, "witness_path", path) == {(d, n, parent(n)) for n, d in far.items()}
     two = walk(near, seed, 2)
     hidden = {n: near[n] - two.keys() for n, d in two.items() if d == 2}
-    assert rows_of(spark, "outgoing_frontier_whole", path) == {(len(h), n, "depth_limit") for n, h in hidden.items() if h}
+    assert rows_of(spark, "outgoing_frontier", path) == {(len(h), n, "depth_limit") for n, h in hidden.items() if h}
     four = walk(near, seed, 4)
     back = {m for n, d in four.items() if d == 1 for m in near[n]}
-    assert rows_of(spark, "input_backprop_whole", path) == {(d > 1 and n in back, d, n) for n, d in four.items()}
-    hubs = {n for n, m in near.items() if len(m) >= 14}
-    assert rows_of(spark, "hub_limited_closure_whole", path) == {(d, n in hubs, n) for n, d in walk(near, seed, 4, hubs).items()}
+    assert rows_of(spark, "input_backprop", path) == {(d > 1 and n in back, d, n) for n, d in four.items()}
+    hubs = {n for n, m in near.items() if len(m) >= max(8, -(-len(near) // 4))}
+    assert rows_of(spark, "hub_limited_closure", path) == {(d, n in hubs, n) for n, d in walk(near, seed, 4, hubs).items()}
 
 
 def test_calls_bind_at_every_position(spark, lines, tmp_path):
@@ -66,13 +66,13 @@ def test_calls_bind_at_every_position(spark, lines, tmp_path):
         kind, size = parts.get(actual, ("PROMO", 0))
         status, reason = ("unresolved", "formal_missing") if kind == "PROMO" else ("candidate", "layout_differs") if size >= 40 else ("confirmed", None)
         want.add((actual, None if kind == "PROMO" else actual, order, position, reason, status))
-    assert rows_of(spark, "call_binding_positions_whole", str(tmp_path)) == want
+    assert rows_of(spark, "call_binding_positions", str(tmp_path)) == want
 
 
 def test_cooccurring_terms_of_the_whole_text(spark, tmp_path):
     texts = [" ".join(f"w{i % 20}" for i in range(30)) + " license late", "License late late", "late only", None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = [(r.term, r.n) for r in registry.QUERIES["concept_cooccurrence_whole"](spark, str(tmp_path)).collect()]
+    got = [(r.term, r.n) for r in registry.QUERIES["concept_cooccurrence"](spark, str(tmp_path)).collect()]
     assert got == [("late", 2), *sorted((f"w{i}", 1) for i in range(20))]
 
 
@@ -88,7 +88,7 @@ def test_literals_are_located_whole(spark, tmp_path):
             t, x = tokens(literal), tokens(text)
             n = sum(x[i : i + len(t)] == t for i in range(len(x))) if t else 0
             want |= {(doc, item, n)} if n else set()
-    assert (0, 0, 2) in want and rows_of(spark, "literal_global_page_whole", str(tmp_path)) == want
+    assert (0, 0, 2) in want and rows_of(spark, "literal_global_page", str(tmp_path)) == want
 
 
 def test_hubs_by_share_of_nodes(spark, tmp_path):
@@ -99,4 +99,4 @@ def test_hubs_by_share_of_nodes(spark, tmp_path):
     hubs = {n for n, m in near.items() if len(m) >= max(8, -(-len(near) // 4))}
     assert hubs == {"s1"}
     want = {(d, n in hubs, n) for n, d in walk(near, [min(a for a, _ in edges)], 4, hubs).items()}
-    assert rows_of(spark, "hub_limited_closure_whole", str(tmp_path)) == want
+    assert rows_of(spark, "hub_limited_closure", str(tmp_path)) == want
