@@ -7,13 +7,16 @@ estimated by method D: (2c - 1) / 2T for a symbol seen c times of T, d / 2T for
 Below the empty context all remaining of 257 symbols (256 bytes and the end of the text) are equally likely.
 mode "pretrained" scores with the trained trie; `code_length` is the adaptive form for a single text in memory.
 
-Nothing of corpus size is ever in one place. Documents are dealt into buckets of bounded bytes; each bucket sends
-its distinct grams (context and symbol, 9 bits each) and distinct tokens with their training counts, packed, to
-the trie part that owns the last three context symbols. There all longer contexts that end alike meet, so counts,
-totals and exclusions of orders 3 to 5 are complete; orders 0 to 2 come from the trigram counts, a table of at most
-257**3 cells whatever the corpus, which is broadcast. Each part returns the cost of every gram that a bucket asked
-for, and a bucket's documents are scored with its own small table. What is gathered grows with the corpus, and
-so does the number of buckets and parts; no task holds more than a bucket or a part.
+Nothing of corpus size is ever in one place, and no text is shuffled before it is scored. A scan task cuts its rows into
+chunks of bounded bytes, one after the other; a chunk's distinct grams (context and symbol, 9 bits each) and distinct
+tokens go, packed, to slots: ranges of a hash of the last three context symbols, or of the token. Slots are reached
+through a tree: at each level some FAN nodes are merged per slot, their counts summed, and the slot is cut into FAN finer
+ones, until one node is left. So a level has FAN rows per chunk, whatever the number of chunks; the levels grow with its
+logarithm; and a task holds the merged grams of one slot from some FAN nodes. In the last level all longer contexts that
+end alike have met, so counts, totals and exclusions of orders 3 to 5 are complete; merged, the contexts that end in the
+same three symbols have at most 257**3 grams, however common they are. Orders 0 to 2 come from the trigram counts, a table
+of at most 257**3 cells whatever the corpus, which is broadcast. The costs of all grams go down the same tree, and a
+chunk's texts, which were set aside with it, are scored with its own small table.
 
 Tokens for the unigram base are maximal runs without ASCII white space and one end per text.
 
@@ -31,22 +34,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.storage import delete, fresh_path, materialize
+from factloom.storage import fresh_path, release
 
 ORDER = 5
 BITS = 9
 SYMBOLS = 257
-GRAM, TOKEN, TOTALS = 0, 1, 2
+GRAM, TOKEN, TOTALS, TRIGRAM, TEXT = range(5)
+#: Nodes that are merged, and finer slots that a slot is cut into, from level to level.
+FAN_BITS = 7
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 #: Bytes of text that are turned into grams at once.
 SLICE = 1_500_000
-#: Counts inside a bucket have 32 bits, as a bucket is bounded; totals have 64.
-PACKED = "kind int, part int, bucket int, keys binary, counts binary"
+#: A packed row; n and m are texts and words of a chunk, or n the distinct trained tokens of a slot, where kind is TOTALS.
+PACKED = "kind int, node long, slot long, keys binary, counts binary, n long, m long"
 
 
 def mask(order: int) -> np.int64:
@@ -90,21 +96,40 @@ def grams(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return code[keep]
 
 
-def _part(codes: np.ndarray, parts: int) -> np.ndarray:
-    """The part that owns the last three symbols of each gram's context."""
-    context = ((codes >> np.int64(BITS)) & mask(2)).astype(np.uint64)
-    return ((context * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(parts)).astype(np.int32)
+def _slots(codes: np.ndarray, level: int, fan_bits: int) -> np.ndarray:
+    """The slot, at a level, that owns the last three symbols of each gram's context."""
+    context = ((codes >> np.int64(BITS)) & mask(2)).astype(np.uint64) + np.uint64(1)
+    mixed = context * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (mixed >> np.uint64(64 - fan_bits * level)).astype(np.int64)
 
 
-class _Bucket:
-    """What one bucket has gathered: distinct grams and tokens with their training counts."""
+def _token_slots(words: list[bytes], level: int, fan_bits: int) -> np.ndarray:
+    """The same for tokens, by a hash of their bytes that every process computes alike."""
+    hashes = np.fromiter((zlib.crc32(w) for w in words), np.uint64, len(words))
+    return (hashes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - fan_bits * level)).astype(np.int64)
+
+
+def _pages(kind: int, node: int, keys, counts: np.ndarray, slots: np.ndarray) -> list[tuple]:
+    """A packed row for each slot; keys keep their order."""
+    order = np.argsort(slots, kind="stable")
+    found, first = np.unique(slots[order], return_index=True)
+    rows = []
+    for slot, own in zip(found.tolist(), np.split(order, first[1:]), strict=True):
+        packed = b" ".join([keys[i] for i in own]) if kind == TOKEN else keys[own].tobytes()
+        rows.append((kind, node, slot, packed, counts[own].tobytes(), 0, 0))
+    return rows
+
+
+class _Chunk:
+    """What one chunk has gathered: distinct grams and tokens with their training counts."""
 
     def __init__(self) -> None:
         self.codes, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
         self.pending: list[tuple[np.ndarray, np.ndarray]] = []
         self.tokens: Counter[bytes] = Counter()
         self.held: set[bytes] = set()
-        self.texts = 0
+        self.texts = self.size = 0
 
     def add(self, data: np.ndarray, at: np.ndarray, train: np.ndarray) -> None:
         sizes = np.diff(at) + 1
@@ -117,68 +142,109 @@ class _Bucket:
             words = folded[at[i] - at[0] : at[i + 1] - at[0]].split()
             self.tokens.update(words) if train[i] else self.held.update(words)
         self.texts += int(train.sum())
+        self.size += int(at[-1] - at[0]) + len(train)
 
     def merge(self) -> None:
         merged, at = np.unique(np.concatenate([self.codes, *(c for c, _ in self.pending)]), return_inverse=True)
         self.counts = np.bincount(at, np.concatenate([self.counts, *(n for _, n in self.pending)]), len(merged)).astype(np.int64)
         self.codes, self.pending = merged, []
 
-    def packed(self, bucket: int, parts: int) -> pa.RecordBatch:
+    def packed(self, node: int, fan_bits: int) -> pa.RecordBatch:
         self.merge()
-        rows = []
-        part = _part(self.codes, parts)
-        order = np.argsort(part, kind="stable")
-        edges = np.searchsorted(part[order], np.arange(parts + 1))
-        for p in np.flatnonzero(np.diff(edges)):
-            own = order[edges[p] : edges[p + 1]]
-            rows.append((GRAM, int(p), bucket, self.codes[own].tobytes(), self.counts[own].astype(np.int32).tobytes()))
+        rows = _pages(GRAM, node, self.codes, self.counts, _slots(self.codes, 1, fan_bits))
+        learned = self.counts > 0
+        three, at = np.unique(self.codes[learned] & mask(2), return_inverse=True)
+        rows.append((TRIGRAM, node, 0, three.tobytes(), np.bincount(at, self.counts[learned], len(three)).astype(np.int64).tobytes(), 0, 0))
         words = list(self.tokens) + list(self.held - self.tokens.keys())
         counts = np.zeros(len(words), np.int64)
         counts[: len(self.tokens)] = list(self.tokens.values())
-        if words:
-            part = token_part(words, parts)
-            order = np.argsort(part, kind="stable")
-            edges = np.searchsorted(part[order], np.arange(parts + 1))
-            for p in np.flatnonzero(np.diff(edges)):
-                own = order[edges[p] : edges[p + 1]]
-                rows.append((TOKEN, int(p), bucket, b" ".join([words[i] for i in own]), counts[own].astype(np.int32).tobytes()))
-        rows.append((TOTALS, 0, bucket, b"", np.array([self.texts, counts.sum()], np.int64).tobytes()))
+        rows += _pages(TOKEN, node, words, counts, _token_slots(words, 1, fan_bits)) if words else []
+        rows.append((TOTALS, node, 0, b"", b"", self.texts, int(counts.sum())))
         return _rows(rows)
 
 
-def token_part(words: list[bytes], parts: int) -> np.ndarray:
-    """A part for each token by a hash of its bytes that every process computes alike."""
-    return np.fromiter((zlib.crc32(w) % parts for w in words), np.int32, len(words))
-
-
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kind, part, bucket, keys, counts = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(part, pa.int32()), pa.array(bucket, pa.int32()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=["kind", "part", "bucket", "keys", "counts"])
+    kind, node, slot, keys, counts, n, m = zip(*rows) if rows else [()] * 7
+    long = lambda x: pa.array(x, pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), long(node), long(slot), pa.array(keys, pa.binary()), pa.array(counts, pa.binary()), long(n), long(m)], names=["kind", "node", "slot", "keys", "counts", "n", "m"])
 
 
-def _gather(parts: int):
-    """Documents that come bucket by bucket or mixed -> packed distinct grams and tokens of each bucket."""
+def _gather(chunk_bytes: int, fan_bits: int):
+    """Rows (id, text, train) -> chunk by chunk, its texts set aside in slices, and its packed grams and tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_buckets: dict[int, _Bucket] = {}
+        node, chunk = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 24, _Chunk()
         for batch in batches:
-            bucket, train = batch.column(0).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False)
-            data, at = string_bytes(batch.column(2))
-            for b in np.unique(bucket):
-                own = np.flatnonzero(bucket == b)
-                if len(own) == len(bucket):
-                    d, a = data, at
-                else:
-                    d = np.concatenate([data[at[i] : at[i + 1]] for i in own])
-                    a = np.concatenate([[0], np.cumsum(at[own + 1] - at[own])])
-                for i, j in slices(a):
-                    open_buckets.setdefault(int(b), _Bucket()).add(d, a[i : j + 1], train[own[i:j]])
-        for b, gathered in open_buckets.items():
-            yield gathered.packed(b, parts)
+            data, at = string_bytes(batch.column(1))
+            train = batch.column(2).to_numpy(zero_copy_only=False)
+            for i, j in slices(at):
+                chunk.add(data, at[i : j + 1], train[i:j])
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema) as stream:
+                    stream.write_batch(batch.slice(i, j - i))
+                yield _rows([(TEXT, node, 0, sink.getvalue().to_pybytes(), b"", 0, 0)])
+                if chunk.size >= chunk_bytes:
+                    yield chunk.packed(node, fan_bits)
+                    node, chunk = node + 1, _Chunk()
+        if chunk.size:
+            yield chunk.packed(node, fan_bits)
 
     return run
 
 
+def _merged(kind: int, keys: list[bytes], counts: list[bytes]) -> tuple:
+    """(keys, summed counts) of the pages of one slot; grams are sorted."""
+    if kind == GRAM:
+        distinct, at = np.unique(np.concatenate([np.frombuffer(k, np.int64) for k in keys]), return_inverse=True)
+        return distinct, np.bincount(at, np.concatenate([np.frombuffer(n, np.int64) for n in counts]), len(distinct)).astype(np.int64)
+    total: Counter[bytes] = Counter()
+    for k, n in zip(keys, counts, strict=True):
+        for word, c in zip(k.split(b" "), np.frombuffer(n, np.int64).tolist(), strict=True):
+            total[word] += c
+    return list(total), np.fromiter(total.values(), np.int64, len(total))
+
+
+def _merge(level: int, fan_bits: int):
+    """The pages of one node and slot -> that node's merged pages, one per slot of the next level."""
+
+    def run(table: pa.Table) -> pa.Table:
+        kind, node = table["kind"][0].as_py(), table["up"][0].as_py()
+        keys, counts = _merged(kind, table["keys"].to_pylist(), table["counts"].to_pylist())
+        slots = _slots(keys, level + 1, fan_bits) if kind == GRAM else _token_slots(keys, level + 1, fan_bits)
+        return pa.Table.from_batches([_rows(_pages(kind, node, keys, counts, slots))])
+
+    return run
+
+
+def _spread(kind: int, keys, values: np.ndarray, nodes: list[int], slots: list[int], asked: list[bytes]) -> list[tuple]:
+    """The values of the keys that each page asked for."""
+    rows = []
+    if kind == GRAM:
+        for node, slot, k in zip(nodes, slots, asked, strict=True):
+            rows.append((GRAM, node, slot, k, values[np.searchsorted(keys, np.frombuffer(k, np.int64))].tobytes(), 0, 0))
+    else:
+        known = dict(zip(keys, values.tolist(), strict=True))
+        for node, slot, k in zip(nodes, slots, asked, strict=True):
+            rows.append((TOKEN, node, slot, k, np.array([known[w] for w in k.split(b" ")], np.int64).tobytes(), 0, 0))
+    return rows
+
+
+def _hand_down(key: tuple, asked: pa.Table, answers: pa.Table) -> pa.Table:
+    """Answers for a node's merged pages -> answers for the pages that were merged into them."""
+    if not asked.num_rows:
+        return pa.Table.from_batches([_rows([])])
+    kind = asked["kind"][0].as_py()
+    if kind == GRAM:
+        keys = np.concatenate([np.frombuffer(k, np.int64) for k in answers["keys"].to_pylist()])
+        values = np.concatenate([np.frombuffer(v, np.float32) for v in answers["counts"].to_pylist()])
+        order = np.argsort(keys)
+        keys, values = keys[order], values[order]
+    else:
+        keys = [w for k in answers["keys"].to_pylist() for w in k.split(b" ")]
+        values = np.concatenate([np.frombuffer(v, np.int64) for v in answers["counts"].to_pylist()])
+    return pa.Table.from_batches([_rows(_spread(kind, keys, values, asked["node"].to_pylist(), asked["slot"].to_pylist(), asked["keys"].to_pylist()))])
+
+
 def _down(codes: np.ndarray, counts: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Grams without their oldest symbol: codes, counts, and where each of the given went."""
     shorter, at = np.unique(codes & mask(order), return_inverse=True)
@@ -228,32 +294,18 @@ def costs(codes: np.ndarray, counts: np.ndarray, trigrams: tuple[np.ndarray, np.
     return log_p
 
 
-def _learn(trigrams) -> callable:
-    """All packed rows of one part -> the cost of each gram, or the count of each token, for each bucket that asked."""
+def _learn(trigrams):
+    """All pages of one slot of the last level -> the cost of each gram, or the count of each token, for each page."""
 
     def run(table: pa.Table) -> pa.Table:
-        kind, part = table["kind"][0].as_py(), table["part"][0].as_py()
-        buckets = table["bucket"].to_pylist()
-        counts = [np.frombuffer(x, np.int64 if kind == TOTALS else np.int32) for x in table["counts"].to_pylist()]
-        out = []
-        if kind == TOTALS:
-            out.append((TOTALS, 0, -1, b"", np.array([0, *np.sum(counts, axis=0)], np.int64).tobytes()))
-        elif kind == GRAM:
-            keys = [np.frombuffer(x, np.int64) for x in table["keys"].to_pylist()]
-            distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-            cost = costs(distinct, np.bincount(at, np.concatenate(counts), len(distinct)), trigrams.value).astype(np.float32)
-            ends = np.cumsum([len(k) for k in keys])
-            for b, k, e in zip(buckets, keys, ends, strict=True):
-                out.append((GRAM, part, b, k.tobytes(), cost[at[e - len(k) : e]].tobytes()))
+        kind, asked = table["kind"][0].as_py(), table["keys"].to_pylist()
+        keys, values = _merged(kind, asked, table["counts"].to_pylist())
+        totals = []
+        if kind == GRAM:
+            values = costs(keys, values, trigrams.value).astype(np.float32)
         else:
-            total: Counter[bytes] = Counter()
-            for keys, n in zip(table["keys"].to_pylist(), counts, strict=True):
-                for word, c in zip(keys.split(b" "), n.tolist(), strict=True):
-                    total[word] += c
-            out.append((TOTALS, 0, -1, b"", np.array([sum(c > 0 for c in total.values()), 0, 0], np.int64).tobytes()))
-            for b, keys in zip(buckets, table["keys"].to_pylist(), strict=True):
-                out.append((TOKEN, part, b, keys, np.array([total[w] for w in keys.split(b" ")], np.int64).tobytes()))
-        return pa.Table.from_batches([_rows(out)])
+            totals = [(TOTALS, -1, 0, b"", b"", int((values > 0).sum()), 0)]
+        return pa.Table.from_batches([_rows(totals + _spread(kind, keys, values, table["node"].to_pylist(), table["slot"].to_pylist(), asked))])
 
     return run
 
@@ -286,64 +338,82 @@ class _Lookup:
         return self.values[slot]
 
 
-def _score(key: tuple, docs: pa.Table, model: pa.Table) -> pa.Table:
-    kind = np.array(model["kind"].to_pylist())
+def _score(key: tuple, held: pa.Table, model: pa.Table) -> pa.Table:
+    """The texts of one chunk, with the costs of its grams and the counts of its tokens."""
+    kind = model["kind"].to_numpy()
     packed = list(zip(model["keys"].to_pylist(), model["counts"].to_pylist(), strict=True))
     codes = [(np.frombuffer(k, np.int64), np.frombuffer(v, np.float32)) for (k, v), x in zip(packed, kind, strict=True) if x == GRAM]
-    table = _Lookup(*(np.concatenate(x) for x in zip(*codes, strict=True))) if codes else None
+    table = _Lookup(*(np.concatenate(x) for x in zip(*codes, strict=True)))
     tokens: dict[bytes, int] = {}
     for (keys, n), x in zip(packed, kind, strict=True):
         if x == TOKEN:
             tokens.update(zip(keys.split(b" "), np.frombuffer(n, np.int64).tolist(), strict=True))
     del packed, codes
-    score, n_tokens, n_known, log_counts = [], [], [], []
-    data, at = string_bytes(docs["text"])
-    for i, j in slices(at):
-        own = at[i : j + 1]
-        value = table.get(grams(data, own)).astype(np.float64)
-        score.append(np.add.reduceat(value, (own[:-1] - own[0]) + np.arange(j - i)))
-        folded = FOLD[data[own[0] : own[-1]]].tobytes()
-        for k in range(j - i):
-            c = np.array([tokens[w] for w in folded[own[k] - own[0] : own[k + 1] - own[0]].split()], np.int64)
+    out = []
+    for payload in held["keys"]:
+        docs = pa.ipc.open_stream(payload.as_buffer()).read_all().combine_chunks()
+        data, at = string_bytes(docs["text"])
+        value = table.get(grams(data, at)).astype(np.float64)
+        score = np.add.reduceat(value, (at[:-1] - at[0]) + np.arange(len(at) - 1))
+        folded = FOLD[data[at[0] : at[-1]]].tobytes()
+        n_tokens, n_known, log_counts = [], [], []
+        for k in range(len(at) - 1):
+            c = np.array([tokens[w] for w in folded[at[k] - at[0] : at[k + 1] - at[0]].split()], np.int64)
             n_tokens.append(len(c))
             n_known.append(int((c > 0).sum()))
             log_counts.append(float(np.log10(c + 1.0).sum()))
-    return pa.Table.from_arrays([docs["id"], docs["train"], pa.array(np.concatenate(score)) if score else pa.array([], pa.float64()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(log_counts, pa.float64())], names=["id", "train", "score", "n_words", "known_words", "log_counts"])
+        out.append(pa.Table.from_arrays([docs["id"], docs["train"], pa.array(score), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(log_counts, pa.float64())], names=["id", "train", "score", "n_words", "known_words", "log_counts"]))
+    return pa.concat_tables(out)
+
+
+def _packed(df: DataFrame, name: str) -> DataFrame:
+    """df in the shared folder; its rows are large, so row groups, which readers hold whole, are short."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.option("parquet.block.row.count.limit", "16").parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written.scratch_path = path
+    return written
 
 
-def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 12_000_000) -> DataFrame:
+def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 12_000_000, fan_bits: int = FAN_BITS) -> DataFrame:
     """One row per input row: id, train, score (log10 probability), n_tokens, n_known, train_tokens, base_score."""
     spark = docs.sparkSession
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
-    size = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
-    buckets = max(1, math.ceil(size / bucket_bytes))
-    rows = rows.select(F.pmod(F.xxhash64("id", "text"), F.lit(buckets)).cast("int").alias("bucket"), "*")
-    dealt = rows.repartition(buckets, "bucket")
-    path = fresh_path(spark, "ppm-asked")
-    dealt.mapInArrow(_gather(buckets), PACKED).write.parquet(path)
-    asked = spark.read.schema(PACKED).parquet(path)
+    gathered = _packed(rows.mapInArrow(_gather(chunk_bytes, fan_bits), PACKED), "ppm-chunks")
+    is_kind = lambda *k: F.col("kind").isin(*k)
+    chunks, texts, words = gathered.where(is_kind(TOTALS)).agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, counts = np.empty(0, np.int64), np.empty(0, np.int64)
         for batch in batches:
             for k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                both = np.concatenate([codes, np.frombuffer(k, np.int64) & mask(2)])
-                codes, at = np.unique(both, return_inverse=True)
-                counts = np.bincount(at, np.concatenate([counts, np.frombuffer(n, np.int32)]), len(codes)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(k, np.int64)), pa.array(np.frombuffer(n, np.int64))], names=["gram", "n"])
 
-    tri = asked.where(F.col("kind") == GRAM).select("keys", "counts").mapInArrow(cells, "gram long, n long")
-    tri = tri.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 0").toArrow()  # at most 257**3 cells
+    tri = gathered.where(is_kind(TRIGRAM)).select("keys", "counts").mapInArrow(cells, "gram long, n long")
+    tri = tri.groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # at most 257**3 cells
     order = np.argsort(tri["gram"].to_numpy())
     trigrams = spark.sparkContext.broadcast((tri["gram"].to_numpy()[order], tri["n"].to_numpy()[order]))
-    answered = materialize(asked.groupBy("kind", "part").applyInArrow(_learn(trigrams), PACKED), "ppm-answered")
-    delete(spark, path)
-    parts = [np.frombuffer(r.counts, np.int64) for r in answered.where(F.col("kind") == TOTALS).select("counts").toLocalIterator()]
-    distinct, texts, words = np.sum(parts, axis=0).tolist() if parts else (0, 0, 0)
+
+    levels, nodes = [gathered.where(is_kind(GRAM, TOKEN)).select("kind", "node", "slot", "keys", "counts")], chunks
+    above = []  # the node of the next level that each level's pages go to
+    while nodes > 1 << fan_bits:
+        nodes = -(-nodes >> fan_bits)
+        above.append(F.pmod(F.xxhash64("node"), F.lit(nodes)))
+        up = levels[-1].withColumn("up", above[-1]).groupBy("kind", "up", "slot").applyInArrow(_merge(len(levels), fan_bits), PACKED)
+        levels.append(_packed(up, "ppm-level").select("kind", "node", "slot", "keys", "counts"))
+    answers = _packed(levels[-1].groupBy("kind", "slot").applyInArrow(_learn(trigrams), PACKED), "ppm-answers")
+    distinct = answers.where(is_kind(TOTALS)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    wanted = answers.where(is_kind(GRAM, TOKEN))
+    for level, up in zip(reversed(levels[:-1]), reversed(above), strict=True):
+        asked = level.withColumn("up", up).groupBy("kind", "up", "slot")
+        given = wanted.select("kind", F.col("node").alias("up"), F.shiftright("slot", fan_bits).alias("slot"), "keys", "counts").groupBy("kind", "up", "slot")
+        lower = _packed(asked.cogroup(given).applyInArrow(_hand_down, PACKED), "ppm-answers")
+        release(answers)
+        answers, wanted = lower, lower
+
     train_tokens, kinds = words + texts, distinct + (texts > 0)
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("train", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("n_words", T.LongType()), T.StructField("known_words", T.LongType()), T.StructField("log_counts", T.DoubleType())])
-    wanted = answered.where(F.col("kind") != TOTALS).select("bucket", "kind", "keys", "counts")
-    scored = rows.groupBy("bucket").cogroup(wanted.groupBy("bucket")).applyInArrow(_score, schema)
+    held = gathered.where(is_kind(TEXT)).select("node", "keys")
+    scored = held.groupBy("node").cogroup(wanted.select("node", "kind", "keys", "counts").groupBy("node")).applyInArrow(_score, schema)
     return scored.select(
         "id", "train", "score", (F.col("n_words") + 1).alias("n_tokens"), (F.col("known_words") + F.lit(int(texts > 0))).alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"),
         (F.col("log_counts") + F.lit(math.log10(texts + 1)) - (F.col("n_words") + 1) * F.lit(math.log10(train_tokens + kinds + 1))).alias("base_score"),

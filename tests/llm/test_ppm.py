@@ -51,11 +51,12 @@ def sample():
     return ["".join(rng.choices(parts, k=rng.randrange(0, 60))) for _ in range(80)] + ["", None, "zzzz", "q" * 3000]
 
 
-@pytest.mark.parametrize("bucket_bytes", [300, 10**9])
-def test_equals_brute_force(spark, bucket_bytes):
+@pytest.mark.parametrize(("chunk_bytes", "fan_bits"), [(300, 2), (300, 7), (10**9, 7)])
+def test_equals_brute_force(spark, chunk_bytes, fan_bits):
+    """Also through a tree of several levels (more chunks than a node may merge)."""
     texts = sample()
     docs = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "doc_id long, text string, bucket int").repartition(3)
-    got = {r.id: r for r in ppm.score(docs, F.col("doc_id") % 3 != 0, bucket_bytes=bucket_bytes).collect()}
+    got = {r.id: r for r in ppm.score(docs, F.col("doc_id") % 3 != 0, chunk_bytes=chunk_bytes, fan_bits=fan_bits).collect()}
     learned = [t for i, t in enumerate(texts) if i % 3]
     assert np.allclose([got[i].score for i in range(len(texts))], brute(texts, learned), rtol=1e-5)
     words = lambda t: bytes(fold(t)).split() + [None]
