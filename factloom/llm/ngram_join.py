@@ -33,7 +33,8 @@ from pyspark.sql import types as T
 
 from factloom.llm.components import components
 from factloom.llm.ppm import FOLD, slices, string_bytes
-from factloom.storage import materialize
+from factloom.llm.rows import without
+from factloom.storage import materialize, release
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 30, 5
@@ -284,6 +285,9 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The first row of each component, with all columns of docs."""
-    stay = join_similar(docs, id_col, text_col, **options).where("first").select(F.col("locator").alias("__first")).distinct()
-    return docs.join(stay, F.xxhash64(docs[id_col], F.coalesce(docs[text_col], F.lit(""))) == F.col("__first"), "left_semi")
+    """The first row of each component, with all columns of docs; of repeated rows the first by all columns."""
+    found = materialize(join_similar(docs, id_col, text_col, **options).select("id", "locator", "first"), "join-first")
+    gone = materialize(found.where("not first").select("id", "locator"), "join-gone")
+    repeated = materialize(found.where("first").groupBy("id", "locator").count().where("count > 1").select("id", "locator"), "join-repeated")
+    release(found)
+    return without(docs, gone, repeated, id_col, text_col)
