@@ -110,14 +110,36 @@ def _token_slots(words: list[bytes], level: int, fan_bits: int) -> np.ndarray:
     return (hashes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - fan_bits * level)).astype(np.int64)
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Ascending 64-bit numbers, small: their differences, byte by byte, compressed."""
+    steps = np.diff(values, prepend=np.int64(0)).astype("<i8").view(np.uint8).reshape(-1, 8)
+    return len(values).to_bytes(4, "little") + pa.compress(np.ascontiguousarray(steps.T), codec="zstd", asbytes=True)
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    n = int.from_bytes(packed[:4], "little")
+    steps = np.frombuffer(pa.decompress(packed[4:], 8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(steps.T).view("<i8").ravel())
+
+
+def _counts(counts: np.ndarray) -> bytes:
+    """Counts, most of them small, compressed."""
+    return len(counts).to_bytes(4, "little") + pa.compress(counts.astype("<i8").view(np.uint8).reshape(-1, 8).T.copy(), codec="zstd", asbytes=True)
+
+
+def _count_values(packed: bytes) -> np.ndarray:
+    n = int.from_bytes(packed[:4], "little")
+    return np.ascontiguousarray(np.frombuffer(pa.decompress(packed[4:], 8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n).T).view("<i8").ravel()
+
+
 def _pages(kind: int, node: int, keys, counts: np.ndarray, slots: np.ndarray) -> list[tuple]:
     """A packed row for each slot; keys keep their order."""
     order = np.argsort(slots, kind="stable")
     found, first = np.unique(slots[order], return_index=True)
     rows = []
     for slot, own in zip(found.tolist(), np.split(order, first[1:]), strict=True):
-        packed = b" ".join([keys[i] for i in own]) if kind == TOKEN else keys[own].tobytes()
-        rows.append((kind, node, slot, packed, counts[own].tobytes(), 0, 0))
+        packed = b" ".join([keys[i] for i in own]) if kind == TOKEN else pack(keys[own])
+        rows.append((kind, node, slot, packed, _counts(counts[own]), 0, 0))
     return rows
 
 
@@ -180,7 +202,7 @@ def _gather(chunk_bytes: int, fan_bits: int):
             for i, j in slices(at):
                 chunk.add(data, at[i : j + 1], train[i:j])
                 sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, batch.schema) as stream:
+                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
                     stream.write_batch(batch.slice(i, j - i))
                 yield _rows([(TEXT, node, 0, sink.getvalue().to_pybytes(), b"", 0, 0)])
                 if chunk.size >= chunk_bytes:
@@ -195,11 +217,11 @@ def _gather(chunk_bytes: int, fan_bits: int):
 def _merged(kind: int, keys: list[bytes], counts: list[bytes]) -> tuple:
     """(keys, summed counts) of the pages of one slot; grams are sorted."""
     if kind == GRAM:
-        distinct, at = np.unique(np.concatenate([np.frombuffer(k, np.int64) for k in keys]), return_inverse=True)
-        return distinct, np.bincount(at, np.concatenate([np.frombuffer(n, np.int64) for n in counts]), len(distinct)).astype(np.int64)
+        distinct, at = np.unique(np.concatenate([unpack(k) for k in keys]), return_inverse=True)
+        return distinct, np.bincount(at, np.concatenate([_count_values(n) for n in counts]), len(distinct)).astype(np.int64)
     total: Counter[bytes] = Counter()
     for k, n in zip(keys, counts, strict=True):
-        for word, c in zip(k.split(b" "), np.frombuffer(n, np.int64).tolist(), strict=True):
+        for word, c in zip(k.split(b" "), _count_values(n).tolist(), strict=True):
             total[word] += c
     return list(total), np.fromiter(total.values(), np.int64, len(total))
 
@@ -221,11 +243,11 @@ def _spread(kind: int, keys, values: np.ndarray, nodes: list[int], slots: list[i
     rows = []
     if kind == GRAM:
         for node, slot, k in zip(nodes, slots, asked, strict=True):
-            rows.append((GRAM, node, slot, k, values[np.searchsorted(keys, np.frombuffer(k, np.int64))].tobytes(), 0, 0))
+            rows.append((GRAM, node, slot, k, values[np.searchsorted(keys, unpack(k))].tobytes(), 0, 0))
     else:
         known = dict(zip(keys, values.tolist(), strict=True))
         for node, slot, k in zip(nodes, slots, asked, strict=True):
-            rows.append((TOKEN, node, slot, k, np.array([known[w] for w in k.split(b" ")], np.int64).tobytes(), 0, 0))
+            rows.append((TOKEN, node, slot, k, _counts(np.array([known[w] for w in k.split(b" ")], np.int64)), 0, 0))
     return rows
 
 
@@ -235,13 +257,13 @@ def _hand_down(key: tuple, asked: pa.Table, answers: pa.Table) -> pa.Table:
         return pa.Table.from_batches([_rows([])])
     kind = asked["kind"][0].as_py()
     if kind == GRAM:
-        keys = np.concatenate([np.frombuffer(k, np.int64) for k in answers["keys"].to_pylist()])
+        keys = np.concatenate([unpack(k) for k in answers["keys"].to_pylist()])
         values = np.concatenate([np.frombuffer(v, np.float32) for v in answers["counts"].to_pylist()])
         order = np.argsort(keys)
         keys, values = keys[order], values[order]
     else:
         keys = [w for k in answers["keys"].to_pylist() for w in k.split(b" ")]
-        values = np.concatenate([np.frombuffer(v, np.int64) for v in answers["counts"].to_pylist()])
+        values = np.concatenate([_count_values(v) for v in answers["counts"].to_pylist()])
     return pa.Table.from_batches([_rows(_spread(kind, keys, values, asked["node"].to_pylist(), asked["slot"].to_pylist(), asked["keys"].to_pylist()))])
 
 
@@ -342,12 +364,12 @@ def _score(key: tuple, held: pa.Table, model: pa.Table) -> pa.Table:
     """The texts of one chunk, with the costs of its grams and the counts of its tokens."""
     kind = model["kind"].to_numpy()
     packed = list(zip(model["keys"].to_pylist(), model["counts"].to_pylist(), strict=True))
-    codes = [(np.frombuffer(k, np.int64), np.frombuffer(v, np.float32)) for (k, v), x in zip(packed, kind, strict=True) if x == GRAM]
+    codes = [(unpack(k), np.frombuffer(v, np.float32)) for (k, v), x in zip(packed, kind, strict=True) if x == GRAM]
     table = _Lookup(*(np.concatenate(x) for x in zip(*codes, strict=True)))
     tokens: dict[bytes, int] = {}
     for (keys, n), x in zip(packed, kind, strict=True):
         if x == TOKEN:
-            tokens.update(zip(keys.split(b" "), np.frombuffer(n, np.int64).tolist(), strict=True))
+            tokens.update(zip(keys.split(b" "), _count_values(n).tolist(), strict=True))
     del packed, codes
     out = []
     for payload in held["keys"]:

@@ -122,13 +122,13 @@ class Vocabulary:
         taken = np.stack(steps[::-1], axis=1)  # -2 fills the words that need fewer pieces
         out = np.split(taken[taken != -2], np.cumsum((taken != -2).sum(axis=1))[:-1])
         for r in np.flatnonzero((taken == -1).any(axis=1)):
-            ids: list[int] = []
+            parts: list[list[int]] = []
             end = length
             while end:
                 start = int(back[r, end])
-                ids[:0] = [int(piece[r, end])] if piece[r, end] >= 0 else self._bytes(words[r][start:end])
+                parts.append([int(piece[r, end])] if piece[r, end] >= 0 else self._bytes(words[r][start:end]))
                 end = start
-            out[r] = np.array(ids, np.int32)
+            out[r] = np.array([i for part in reversed(parts) for i in part], np.int32)
         return out
 
     def _bytes(self, text: str) -> list[int]:

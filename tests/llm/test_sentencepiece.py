@@ -74,3 +74,27 @@ def test_broken_vocabularies():
         S.Vocabulary.build([*PIECES, "a"], [*SCORES, -1.0], set(range(257)), {b: b + 1 for b in range(256)})
     with pytest.raises(ValueError):
         S.Vocabulary.build([*PIECES, "a▁b"], [*SCORES, -1.0], set(range(257)), {b: b + 1 for b in range(256)})
+
+
+def test_long_words_of_unknown_characters_take_linear_time():
+    import time
+
+    vocabulary = Vocabulary.load()
+    took = []
+    for n in (50_000, 200_000):
+        text = "\U000f0000" * n
+        began = time.perf_counter()
+        (ids,) = vocabulary.encode([text])
+        took.append(time.perf_counter() - began)
+        assert vocabulary.decoder()(ids).decode() == text
+    assert took[1] < 10 * took[0] + 1
+
+
+def test_texts_whose_ids_equal_the_librarys():
+    """Pieces of merge ranks are scored as probabilities, so only most texts get the ids of the merge order."""
+    import sentencepiece
+
+    own, library = Vocabulary.load(), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    words = ["the quick brown fox", "hello world", "streaming analytics", "in the beginning", "data", "a b c"]
+    same = [ids.tolist() == library.encode(w) for w, ids in zip(words, own.encode(words), strict=True)]
+    assert sum(same) >= len(words) // 2
