@@ -1,7 +1,8 @@
 """Lexing and fact extraction for COBOL and CL text, one file at a time and without Spark.
 
 A file is normalised (fixed columns 8 to 72 or free form, comments, continuations) into statements' tokens with physical
-lines. Every fact carries its line range. What the grammar does not cover is left out, never guessed.
+lines. Every fact carries its line range. What the grammar does not cover is left out, never guessed: a sentence with an
+unknown character or an open literal yields no fact but a `boundary`.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from decimal import ROUND_DOWN, ROUND_HALF_UP, Decimal
 
-TOKENS = re.compile(r"""(?P<literal>"(?:[^"]|"")*"|'(?:[^']|'')*')|(?P<number>[+-]?\d+(?:[.,]\d+)?(?![\w-]))|(?P<word>[A-Za-z0-9#@$](?:[\w#@$-]*[\w#@$])?)|(?P<symbol>\*\*|<=|>=|<>|[=<>+*/(),:.-])""")
+TOKENS = re.compile(r"""(?P<literal>"(?:[^"]|"")*"|'(?:[^']|'')*')|(?P<number>[+-]?\d+(?:[.,]\d+)?(?![\w-]))|(?P<word>[A-Za-z0-9#@$](?:[\w#@$-]*[\w#@$])?)|(?P<symbol>\*\*|<=|>=|<>|[=<>+*/(),:.-])|(?P<bad>["'].*|[^\s;])""")
 # Words of the language that are verbs, and those that end or structure statements.
 VERBS = frozenset("ACCEPT ADD CALL CANCEL CLOSE COMPUTE CONTINUE COPY DELETE DISPLAY DIVIDE EVALUATE EXEC EXIT GO GOBACK IF INITIALIZE INSPECT MERGE MOVE MULTIPLY OPEN PERFORM READ RELEASE RETURN REWRITE SEARCH SET SORT START STOP STRING SUBTRACT UNSTRING WRITE".split())
 ENDS = frozenset("ELSE WHEN END-IF END-EVALUATE END-PERFORM END-READ END-CALL END-COMPUTE END-ADD END-SUBTRACT END-MULTIPLY END-DIVIDE END-WRITE END-REWRITE END-DELETE END-START END-SEARCH END-STRING END-UNSTRING END-EXEC".split())
@@ -31,7 +32,7 @@ class Token:
 
 @dataclass
 class Fact:
-    """kind: program, section, paragraph, item, copy, call, perform, assign, condition, sql, file, signature."""
+    """kind: program, section, paragraph, item, copy, call, perform, assign, condition, sql, file, signature, boundary."""
 
     kind: str
     name: str
@@ -176,7 +177,9 @@ def facts(text: str, fixed: bool | None = None) -> list[Fact]:
     tokens, out = lex(text, fixed), []
     program = paragraph = division = ""
     guards: list[str] = []
-    scoped: list[str] = []  # IF and EVALUATE that are open, innermost last
+    scoped: list[str] = []  # IF, EVALUATE and handlers that are open, innermost last
+    statement = ""  # the latest one, whose handlers may follow
+    when_at = -1  # where a WHEN ended, so that one right after it belongs to the same group
     i, n = 0, len(tokens)
 
     def line_start(k: int) -> bool:
@@ -185,14 +188,17 @@ def facts(text: str, fixed: bool | None = None) -> list[Fact]:
     def until(k: int) -> int:
         """Where the statement that begins at k ends."""
         e = k + 1
-        while e < n and not (tokens[e].value == "." or (tokens[e].kind == "word" and (tokens[e].up in ENDS or (tokens[e].up in VERBS and not (tokens[k].up == "EXEC"))))):
+        while e < n and not (tokens[e].value == "." or (tokens[e].kind == "word" and (tokens[e].up in ENDS or (tokens[k].up not in ("IF", "EVALUATE", "SEARCH", "PERFORM") and _phrase(tokens, e)) or (tokens[e].up in VERBS and not (tokens[k].up == "EXEC"))))):
             e += 1
         return e
 
     while i < n:
         t = tokens[i]
         nxt = tokens[i + 1] if i + 1 < n else None
-        if t.value == ".":
+        if division == "PROCEDURE" and (i == 0 or tokens[i - 1].value == ".") and (bad := _bad_sentence(tokens, i)):
+            out.append(Fact("boundary", "unknown character or open literal", t.line, tokens[bad - 1].line, paragraph))
+            i = bad
+        elif t.value == ".":
             guards, scoped = [], []
             i += 1
         elif nxt and nxt.up == "DIVISION":
@@ -237,17 +243,30 @@ def facts(text: str, fixed: bool | None = None) -> list[Fact]:
             paragraph = t.up
             out.append(Fact(kind, t.up, t.line, t.line, program))
             i += 2
-        elif t.kind == "word" and t.up in ("END-IF", "END-EVALUATE"):
-            if guards and scoped:
+        elif t.kind == "word" and t.up in ENDS and t.up.startswith("END-"):
+            if guards and scoped and scoped[-1].split(" ")[0] == t.up[4:]:
                 guards, scoped = guards[:-1], scoped[:-1]
             i += 1
+        elif division == "PROCEDURE" and (words := _phrase(tokens, i)) and statement:
+            owner = statement
+            if t.up == "NOT" and scoped and re.fullmatch(r"[A-Z-]+ \d+", scoped[-1]):  # the other outcome of the open one
+                owner = scoped[-1]
+                guards, scoped = guards[:-1], scoped[:-1]
+            phrase = " ".join(x.up for x in tokens[i : i + words] if x.up not in ("NOT", "ON")) + " of " + owner.replace(" ", " at line ")
+            guards, scoped = [*guards, ("not " if t.up == "NOT" else "") + phrase], [*scoped, owner]
+            i += words
         elif t.up == "ELSE" and guards:
-            guards = [*guards[:-1], "not " + guards[-1]]
+            while scoped and scoped[-1] != "IF":  # a handler without its END ends with the branch
+                guards, scoped = guards[:-1], scoped[:-1]
+            guards = [*guards[:-1], "not " + guards[-1]] if guards else guards
             i += 1
-        elif t.up == "WHEN" and scoped and scoped[-1].startswith("EVALUATE"):
+        elif t.up == "WHEN" and any(x.startswith("EVALUATE") for x in scoped):
+            while not scoped[-1].startswith("EVALUATE"):
+                guards, scoped = guards[:-1], scoped[:-1]
             e = until(i)
-            guards = [*guards[:-1], scoped[-1] + " = " + " ".join(x.value for x in tokens[i + 1 : e])]
-            i = e
+            value = " ".join(x.value for x in tokens[i + 1 : e])
+            guards = [*guards[:-1], guards[-1] + " or " + value if when_at == i else scoped[-1] + " = " + value]
+            i = when_at = e
         elif t.kind == "word" and t.up in VERBS and division == "PROCEDURE":
             if t.up == "EXEC":
                 e = i
@@ -261,6 +280,8 @@ def facts(text: str, fixed: bool | None = None) -> list[Fact]:
                 continue
             e = until(i)
             body = tokens[i:e]
+            if t.up not in ("IF", "EVALUATE"):
+                statement = f"{t.up} {t.line}"
             own = lambda kind, name, **more: out.append(Fact(kind, name, body[0].line, body[-1].line, paragraph, guards=list(guards), **more))  # noqa: B023, E731
             if t.up == "IF":
                 own("condition", "IF", reads=_data(body[1:]))
@@ -280,13 +301,33 @@ def facts(text: str, fixed: bool | None = None) -> list[Fact]:
                 names = _data([x for x in body[1:] if x.up not in ("INPUT", "OUTPUT", "I-O", "EXTEND")])
                 own("file", names[0] if names else "", detail={"verb": t.up})
             elif found := assignment(body):
-                own("assign", t.up, detail={"rounded": str(found[2]).lower()}, reads=found[0], writes=found[1])
+                may_fail = _phrase(tokens, e) and "SIZE" in (tokens[e].up, tokens[min(e + 1, n - 1)].up, tokens[min(e + 2, n - 1)].up)
+                detail = {"rounded": str(found[2]).lower()} | ({"effects": "unknown", "may_write": " ".join(found[1])} if may_fail else {})
+                own("assign", t.up, detail=detail, reads=found[0], writes=[] if may_fail else found[1])
             i = e
         else:
             i += 1
     return out
 
 
+def _phrase(tokens: list[Token], i: int) -> int:
+    """How many words of a conditional phrase (AT END, INVALID KEY, ON SIZE ERROR, ...) stand at i; 0 for none."""
+    words = [t.up for t in tokens[i : i + 4]]
+    lead = words[:1] == ["NOT"]
+    for phrase in (("ON", "SIZE", "ERROR"), ("SIZE", "ERROR"), ("AT", "END"), ("INVALID", "KEY"), ("ON", "EXCEPTION"), ("ON", "OVERFLOW")):
+        if tuple(words[lead : lead + len(phrase)]) == phrase:
+            return lead + len(phrase)
+    return 0
+
+
+def _bad_sentence(tokens: list[Token], i: int) -> int:
+    """Where the sentence at i ends, if it holds what the lexer does not know; 0 otherwise."""
+    e = i
+    while e < len(tokens) and tokens[e].value != ".":
+        e += 1
+    return min(e + 1, len(tokens)) if any(t.kind == "bad" for t in tokens[i:e]) else 0
+
+
 def _parameters(tokens: list[Token]) -> str:
     """USING parameters in order as mode:name; the mode holds until the next one."""
     mode, out = "reference", []
@@ -330,25 +371,6 @@ def store(value: Decimal, into: Picture | None, rounded: bool = False, on_size_e
     return status, kept if into.signed else abs(kept)
 
 
-def reaching(found: list[Fact]) -> list[tuple[int, str, int]]:
-    """(index of a reading fact, field, index of a definition that may reach it) within one paragraph's straight order.
-
-    Going back from a read, definitions under contradicting guards cannot reach it; one under the read's own guards
-    (or fewer) hides all earlier ones.
-    """
-    out = []
-    for r, fact in enumerate(found):
-        for name in fact.reads:
-            for d in range(r - 1, -1, -1):
-                if found[d].scope != fact.scope or name not in found[d].writes:
-                    continue
-                if compatible(found[d].guards, fact.guards):
-                    out.append((r, name, d))
-                    if found[d].guards == fact.guards[: len(found[d].guards)]:
-                        break
-    return out
-
-
 def compatible(left: list[str], right: list[str]) -> bool:
     """Can both lists of guards hold at once, as far as their text tells?"""
     for a, b in zip(left, right):
@@ -356,8 +378,9 @@ def compatible(left: list[str], right: list[str]) -> bool:
             continue
         if a == "not " + b or b == "not " + a:
             return False
-        same = a.startswith("EVALUATE ") and b.startswith("EVALUATE ") and a.partition(" = ")[0] == b.partition(" = ")[0]
-        return not same
+        (subject, _, one), (other, _, two) = a.partition(" = "), b.partition(" = ")
+        same = a.startswith("EVALUATE ") and subject == other
+        return not same or bool(set(one.split(" or ")) & set(two.split(" or ")))
     return True
 
 

@@ -70,3 +70,15 @@ def snippet(text: Column, term: str, before: int = 20, width: int = 80) -> Colum
     """An excerpt that starts up to `before` characters ahead of the first hit; null without a hit."""
     at = F.instr(F.lower(text), term)
     return F.when(at > 0, text.substr(F.greatest(at - before, F.lit(1)), F.lit(width)))
+
+
+def probe_values(literal: str, width: int = 3, size: int = 8192) -> list[int]:
+    """What probes() gives for a literal, on the driver."""
+    codes = [ord(c) for c in literal.lower() if c in "abcdefghijklmnopqrstuvwxyz0123456789 "]
+    out = []
+    for i in range(len(codes) - width + 1):
+        value = 0
+        for k in range(width):
+            value = (value * 131 + codes[i + k]) % size
+        out.append(value)
+    return sorted(set(out))

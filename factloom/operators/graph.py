@@ -53,3 +53,31 @@ def frontier(edges: DataFrame, reached: DataFrame, max_depth: int) -> DataFrame:
     last = reached.where(F.col("depth") == max_depth).select("node")
     beyond = last.join(edges, last.node == edges.src).join(reached.select(F.col("node").alias("dst")), "dst", "left_anti")
     return beyond.groupBy("node").agg(F.countDistinct("dst").alias("n_hidden")).withColumn("reason", F.lit("depth_limit"))
+
+
+def paths(edges: DataFrame, seeds: DataFrame, max_depth: int, limit: int = 100_000) -> DataFrame:
+    """node, path, boundary: every way from the seeds, edge by edge, as an array of nodes.
+
+    A way that comes back to a node on it ends there with boundary `cycle`; one at max_depth with further edges ends with
+    `depth`. Ways can be many more than nodes: beyond `limit` of them in one level, that level is not expanded and its
+    ways end with boundary `limit`, so what is missing is named.
+    """
+    edges = materialize(edges.where("src is not null and dst is not null").select("src", "dst").distinct(), "paths-edges")
+    level = materialize(seeds.select("node").distinct().withColumn("path", F.array("node")), "paths")
+    parts = [level.withColumn("boundary", F.lit(None).cast("string"))]
+    for depth in range(1, max_depth + 1):
+        step = level.join(edges, level.node == edges.src).select(F.col("dst").alias("node"), F.array_contains("path", F.col("dst")).alias("cycle"), F.concat("path", F.array("dst")).alias("path"))
+        step = materialize(step, "paths")
+        if step.isEmpty():
+            break
+        many = step.limit(limit + 1).count() > limit
+        ends = F.when(F.col("cycle"), "cycle").when(F.lit(many), "limit").when(F.lit(depth == max_depth) & F.col("more").isNotNull(), "depth")
+        further = edges.select(F.col("src").alias("node")).distinct().withColumn("more", F.lit(True))
+        parts.append(step.join(further, "node", "left").select("node", "path", ends.alias("boundary")))
+        if many:
+            break
+        level = step.where("not cycle").drop("cycle")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

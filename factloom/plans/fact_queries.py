@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factloom.operators import corpus, dataflow, evaluation, graph, intervals, versions
+from factloom.operators import corpus, dataflow, evaluation, facts, graph, intervals, versions
 from factloom.plans.registry import query
 from factloom.plans.text_queries import _BM25, _LINE_ROWS, TERMS
 from factloom.storage import table
@@ -16,20 +16,16 @@ from factloom.storage import table
     SELECT c_custkey, CASE WHEN c IS NULL THEN 'unresolved' WHEN c = 1 THEN 'confirmed' ELSE 'candidate' END AS status, CASE WHEN c IS NULL THEN 'no_definition' WHEN c > 1 THEN 'several_definitions' END AS reason, CASE WHEN c = 1 THEN first_id END AS target
     FROM customer LEFT JOIN s ON c_nationkey = n""")
 def resolve_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("c_nationkey")).agg(F.count(F.lit(1)).alias("n"), F.min("s_suppkey").alias("first_id"))
-    n = F.col("n")
-    return table(spark, sf_dir, "customer").join(known, "c_nationkey", "left").select(
-        "c_custkey", F.when(n.isNull(), "unresolved").when(n == 1, "confirmed").otherwise("candidate").alias("status"),
-        F.when(n.isNull(), "no_definition").when(n > 1, "several_definitions").alias("reason"), F.when(n == 1, F.col("first_id")).alias("target"),
-    )
+    known = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("name"), "s_suppkey")
+    wanted = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("name"))
+    return facts.statuses(wanted, known, ["name"], "s_suppkey").select("c_custkey", "status", "reason", "target")
 
 
 @query("alias_resolution", """WITH a AS (SELECT DISTINCT p_partkey, unnest([p_name, p_brand, p_type, p_brand || '/' || p_name]) AS alias FROM part), c AS (SELECT alias, count(*) AS n, min(p_partkey) AS first_id FROM a GROUP BY alias)
     SELECT p_partkey, alias, n, CASE WHEN n = 1 THEN 'confirmed' ELSE 'candidate' END AS status FROM a JOIN c USING (alias)""")
 def alias_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     aliases = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.array_distinct(F.array("p_name", "p_brand", "p_type", F.concat_ws("/", "p_brand", "p_name")))).alias("alias"))
-    counted = aliases.groupBy("alias").agg(F.count(F.lit(1)).alias("n"))
-    return aliases.join(counted, "alias").select("p_partkey", "alias", "n", F.when(F.col("n") == 1, "confirmed").otherwise("candidate").alias("status"))
+    return facts.statuses(aliases, aliases.withColumnRenamed("p_partkey", "definition"), ["alias"], "definition").select("p_partkey", "alias", "n", "status")
 
 
 @query("unresolved_targets", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
@@ -283,8 +279,10 @@ def call_binding_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Actuals bound to formals at every position."""
     calls = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("position"), F.col("l_partkey").alias("actual"))
     formals = table(spark, sf_dir, "part").where("p_type <> 'PROMO'").select(F.col("p_partkey").alias("formal"), "p_size")
+    positions = F.explode(F.sequence(F.lit(1), F.lit(7)))  # a part is a formal at every position of an order
+    bound = facts.positions(calls, formals.select("*", positions.alias("formal_position")), ["actual"], ["formal"])
     missing, differs = F.col("formal").isNull(), F.col("p_size") >= 40
-    return calls.join(formals, F.col("actual") == F.col("formal"), "left").select(
+    return bound.select(
         "l_orderkey", "position", "actual", "formal", F.when(missing, "unresolved").when(differs, "candidate").otherwise("confirmed").alias("status"), F.when(missing, "formal_missing").when(differs, "layout_differs").alias("reason")
     )
 

@@ -3,9 +3,8 @@ from decimal import Decimal
 import pytest
 
 from factloom.functions import cobol
-from factloom.operators import facts, search
+from factloom.operators import facts
 from factloom.sources import files
-from factloom.streaming import refresh
 
 MAIN = """       IDENTIFICATION DIVISION.
        PROGRAM-ID. MAINPGM.
@@ -72,8 +71,55 @@ def test_tables(spark):
     bound = {r.position: r for r in facts.call_bindings(found).collect()}
     assert (bound[1].formal, bound[1].status, bound[1].may_write_back) == ("L-A", "confirmed", True)
     assert (bound[2].formal, bound[2].status, bound[2].reason, bound[2].may_write_back) == ("L-B", "candidate", "layout_differs", False)
-    flow = {(r.field, r.read_line, r.write_line) for r in facts.reaching(found).where("path = '/s/main.cbl'").collect()}
-    assert ("WS-RATE", 13, 11) in flow and ("WS-TOTAL", 17, 13) in flow and ("WS-TOTAL", 17, 15) in flow and ("WS-TOTAL", 15, 13) not in flow
+    sources = spark.createDataFrame(list(SOURCES.items()), "path string, text string")
+    flow = {(r.field, r.read_line, r.write_line) for r in facts.reaching(sources).where("path = '/s/main.cbl'").collect()}
+    assert {("WS-RATE", 13, 11), ("WS-TOTAL", 17, 13), ("WS-TOTAL", 17, 15), ("WS-RATE", 22, None)} <= flow and ("WS-TOTAL", 15, 13) not in flow
+
+
+def test_bindings_follow_the_resolution(spark):
+    """Two programs of one name bind nothing; a name declared twice has no layout."""
+    two = {**SOURCES, "/s/sub_b.cbl": SUB.replace("9(4)", "X(2)")}
+    found = facts.extract(spark.createDataFrame(list(two.items()), "path string, text string"))
+    rows = facts.call_bindings(found).where("callee = 'SUBPGM'").collect()
+    assert sorted((r.position, r.formal, r.status, r.reason, r.may_write_back) for r in rows) == [(1, None, "candidate", "several_definitions", False), (2, None, "candidate", "several_definitions", False)]
+    twice = {"/s/main.cbl": MAIN.replace("       01  WS-RATE    PIC 9(3).", "       01  WS-RATE    PIC 9(3).\n       01  WS-TOTAL   PIC 9."), "/s/sub.cbl": SUB}
+    got = {r.position: (r.status, r.reason) for r in facts.call_bindings(facts.extract(spark.createDataFrame(list(twice.items()), "path string, text string"))).collect()}
+    assert got[1] == ("candidate", "layout_unknown")
+
+
+def test_bad_fragments_and_handlers_yield_no_guesses():
+    text = """procedure division.
+p.
+ move "abc to y.
+ move q ~ to r.
+ move a to b.
+ evaluate x when 1 when 2 move 3 to c when other move 4 to c end-evaluate.
+ add 1 to t on size error move 9 to w not on size error move 8 to w end-add.
+ read f at end move 1 to eof not at end move 2 to eof end-read move 5 to five.
+"""
+    found = [f for f in cobol.facts(text, False) if f.kind in ("assign", "boundary")]
+    assert [(f.kind, f.start, f.end) for f in found if f.kind == "boundary"] == [("boundary", 3, 4)]
+    assert [(f.reads, f.writes, f.guards) for f in found if f.kind == "assign"] == [
+        (["A"], ["B"], []), ([], ["C"], ["EVALUATE x = 1 or 2"]), ([], ["C"], ["EVALUATE x = other"]), (["T"], [], []), ([], ["W"], ["SIZE ERROR of ADD at line 7"]), ([], ["W"], ["not SIZE ERROR of ADD at line 7"]),
+        ([], ["EOF"], ["AT END of READ at line 8"]), ([], ["EOF"], ["not AT END of READ at line 8"]), ([], ["FIVE"], []),
+    ]
+    assert found[4].detail == {"rounded": "false", "effects": "unknown", "may_write": "T"}
+    assert not cobol.compatible(["EVALUATE x = 1 or 2"], ["EVALUATE x = 3"]) and cobol.compatible(["EVALUATE x = 1 or 2"], ["EVALUATE x = 2"])
+
+
+def test_parsers_are_registered_and_failures_stay_alone(spark):
+    def shout(text):
+        if "!" not in text:
+            raise ValueError("quiet")
+        return [cobol.Fact("program", text.strip("!").upper(), 1, 1)]
+
+    facts.register_parser(".zz", shout)
+    try:
+        got = facts.extract(spark.createDataFrame([("/a.zz", "one!"), ("/b.zz", "two"), ("/c.cbl", SUB)], "path string, text string")).collect()
+    finally:
+        del facts._PARSERS["zz"]
+    by = {(r.path, r.kind): r.name for r in got}
+    assert by["/a.zz", "program"] == "ONE" and by["/b.zz", "failed"] == "ValueError" and by["/c.cbl", "program"] == "SUBPGM"
 
 
 @pytest.mark.parametrize("value,pic,options,want", [
@@ -108,15 +154,3 @@ def test_sources(spark, tmp_path):
     kinds = spark.createDataFrame([("cpy", MAIN), ("cbl", MAIN), ("pf", ""), ("jcl", ""), ("src", "  01 A PIC 9."), ("sql", "select"), ("txt", "x")], "s string, t string")
     assert [r.k for r in kinds.select(files.artifact_kind(kinds.s, kinds.t).alias("k")).collect()] == ["copybook", "cobol_program", "ddl_or_db_file_definition", "job_or_command", "cobol_fragment_or_copybook", "sql_or_ddl", "unclassified_text"]
     assert by["x.cbl"].encoding == "utf-8" and by["y.cpy"].encoding != "utf-8" and by["z.cl"].text is None
-
-
-def test_stream_refresh(spark, tmp_path):
-    src, out, state = (str(tmp_path / x) for x in ("src", "out", "state"))
-    schema = "doc_id long, text string"
-    spark.createDataFrame([(1, "a b a"), (2, "c")], schema).coalesce(1).write.parquet(src)
-    refresh.refresh_postings(spark, src, schema, out, state)
-    spark.createDataFrame([(2, "d d")], schema).coalesce(1).write.mode("append").parquet(src)
-    refresh.refresh_postings(spark, src, schema, out, state)
-    got = {(r.term, r.doc_id, r.tf) for r in refresh.latest(spark, out).collect()}
-    assert got == {("a", 1, 2), ("b", 1, 1), ("d", 2, 2)}
-    assert search.routes(refresh.latest(spark, out)).where("term = 'a'").first().df == 1
