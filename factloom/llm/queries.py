@@ -45,7 +45,7 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_toxicity")
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, held = table(spark, sf_dir, "documents"), F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    docs, held = table(spark, sf_dir, "documents"), F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))  # a null id is not held out
     model = toxicity.train(docs.where(~held), table(spark, sf_dir, "labels").where(~held))
     scored = toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
@@ -53,7 +53,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op1_ppm_scoring")
 def op1_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2
+    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2, F.lit(False))  # a null id is learned from
     found = ppm.score(table(spark, sf_dir, "documents"), ~held)
     return found.select(F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
@@ -75,7 +75,10 @@ def op8_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_spans(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda x: x["base"])
     count = lambda i: F.size(F.filter(base, lambda x: x["kind"] == i)).cast("long")
-    return found.select(F.col("id").alias("doc_id"), *(count(i).alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)), F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+    return found.select(
+        F.col("id").alias("doc_id"), *(count(i).alias(f"n_{kind}") for i, kind in enumerate(pii.BASE)), F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"),
+        (F.size("spans") - F.size(base)).cast("long").alias("n_added"), F.array_join(F.transform("spans", lambda x: F.round(x["probability"], 4).cast("string")), ",").alias("probabilities"),
+    )
 
 
 @query("op9_quality_co_training")
