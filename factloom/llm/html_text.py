@@ -44,6 +44,10 @@ WORDS = frozenset(
     "signup login signin search menu menus nav navbar navigation breadcrumb breadcrumbs sidebar aside widget widgets footer related recommended recommendations share sharing social comment comments "
     "commentlist respond reply replies discussion disqus pager pagination toolbar skip copyright legal disclaimer teaser teasers masthead topbar".split()
 )
+#: Words that also name a part of an article (related work, a discussion): as an id, or with words that are not
+#: names of boxes they do not tell that a part of the article is something else.
+AMBIGUOUS = frozenset("related discussion search notice notices legal copyright banner top reply replies recommended recommendations promotion disclaimer share sharing social aside".split())
+BOXES = frozenset("box block list links posts articles stories items item news section area wrap wrapper container inner outer content widget module panel bar buttons button icons thread form more also you may like by the and of a".split())
 HEADERS = frozenset(["header", "site-header", "page-header", "top"])
 #: Kernel of the smoothing, in blocks.
 RADIUS, SIGMA = 2, 1.0
@@ -78,8 +82,11 @@ def _named_boilerplate(name: str, attributes: list[tuple[str, str | None]], in_m
         if key == "role" and value.lower() in ROLES:
             return True
         if key in ("class", "id"):
-            words = set(_SPLIT.split(_CAMEL.sub("-", value).lower()))
-            if words & WORDS or (not in_main and value.lower() in HEADERS):
+            words = set(_SPLIT.split(_CAMEL.sub("-", value).lower())) - {""}
+            named = words & WORDS
+            if in_main and named <= AMBIGUOUS and (key == "id" or not words <= WORDS | BOXES):
+                continue
+            if named or (not in_main and value.lower() in HEADERS):
                 return True
     return False
 

@@ -7,8 +7,9 @@ proportion, and hands them to the other view. At the end each view is calibrated
 has trained on, and a document's score is the mean of the two calibrated log odds, weighted by how much each lowers
 the held rows' log loss; a view that helps nothing gets no weight.
 
-Training uses a bounded sample (sample_rows labelled and as many unlabelled rows, drawn by a hash of the identifier)
-whose few measures go to the driver; scoring is one pass in Arrow batches without a shuffle. The model is two small
+Training uses a bounded sample (at most about sample_rows labelled and as many unlabelled distinct rows, drawn by hashes of
+the identifier and of the whole row, each with the number of times it occurs as its weight) whose few measures, never a
+text, go to the driver; scoring is one pass in Arrow batches without a shuffle. The model is two small
 vectors: sources and languages are hashed into a fixed number of buckets.
 
 Defined results: a null or empty text has zero measures; null source or language is a value of its own; repeated rows
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.llm.ppm import slices, string_bytes
+from factloom.llm.rows import small
+from factloom.storage import materialize, release
 
 # Character classes of the content view, by byte.
 LOWER, UPPER, DIGIT, BLANK, LINE, COMMON, SYMBOL, OTHER = range(8)
@@ -130,32 +133,39 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _solve(x: np.ndarray, y: np.ndarray, decay: float, rounds: int = 30) -> np.ndarray:
-    """Weights (the last is the intercept) of a logistic regression, by Newton steps."""
+def _solve(x: np.ndarray, y: np.ndarray, decay: float, rounds: int = 30, times: np.ndarray | None = None) -> np.ndarray:
+    """Weights (the last is the intercept) of a weighted logistic regression, by Newton steps."""
+    times = np.ones(len(x)) if times is None else times
     x = np.hstack([x, np.ones((len(x), 1))])
     ridge = np.full(x.shape[1], decay)
     ridge[-1] = 1e-6
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = _sigmoid(x @ w)
-        gradient = x.T @ (p - y) + ridge * w
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(ridge), gradient)
+        gradient = x.T @ (times * (p - y)) + ridge * w
+        step = np.linalg.solve((x * (times * (p * (1 - p) + 1e-9))[:, None]).T @ x + np.diag(ridge), gradient)
         w -= np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
-def _fit(x: np.ndarray, y: np.ndarray, plain: bool) -> View:
-    mean, spread = (np.zeros(x.shape[1]), np.ones(x.shape[1])) if plain else (x.mean(axis=0), x.std(axis=0) + 1e-6)
-    w = _solve(np.clip((x - mean) / spread, -6, 6), y, 3.0)
+def _fit(x: np.ndarray, y: np.ndarray, plain: bool, times: np.ndarray | None = None) -> View:
+    times = np.ones(len(x)) if times is None else times
+    mean, spread = np.zeros(x.shape[1]), np.ones(x.shape[1])
+    if not plain:
+        mean = times @ x / times.sum()
+        spread = np.sqrt(times @ (x - mean) ** 2 / times.sum()) + 1e-6
+    w = _solve(np.clip((x - mean) / spread, -6, 6), y, 3.0, times=times)
     return View(mean, spread, w[:-1], float(w[-1]))
 
 
-def co_train(content: np.ndarray, columns: np.ndarray, labels: np.ndarray, rounds: int = 4, grow: float = 0.05) -> Model:
-    """labels: 1, 0, or -1 where unknown. Each round hands over the surest `grow` of the unlabelled rows per view."""
+def co_train(content: np.ndarray, columns: np.ndarray, labels: np.ndarray, rounds: int = 4, grow: float = 0.05, times: np.ndarray | None = None) -> Model:
+    """labels: 1, 0, or -1 where unknown. Each round hands over the surest `grow` of the unlabelled rows per view; times
+    are the rows' weights."""
+    times = np.ones(len(labels)) if times is None else times.astype(float)
     known = np.flatnonzero(labels >= 0)
-    prior = float(labels[known].mean()) if len(known) else 1.0
+    prior = float(np.average(labels[known], weights=times[known])) if len(known) else 1.0
     if len(known) < 10 or prior in (0.0, 1.0):
         return Model(None, None, prior)
     views = [content, one_hot(columns)]
@@ -170,7 +180,7 @@ def co_train(content: np.ndarray, columns: np.ndarray, labels: np.ndarray, round
         for v in (0, 1):
             rows = np.concatenate([base, np.array(list(given[v]), np.int64)])
             y = np.concatenate([labels[base], np.array(list(given[v].values()), np.int64)])
-            fitted.append(_fit(views[v][rows], y.astype(float), plain=v == 1))
+            fitted.append(_fit(views[v][rows], y.astype(float), v == 1, times[rows]))
         if turn == rounds or not len(unknown):
             break
         for v in (0, 1):
@@ -187,12 +197,13 @@ def co_train(content: np.ndarray, columns: np.ndarray, labels: np.ndarray, round
             for i in order[:zeros]:
                 if p[i] < 0.1:
                     other[int(left[i])] = 0
-    y = labels[held].astype(float)
-    loss = lambda z: float(np.mean(np.log1p(np.exp(-np.clip(np.where(y == 1, z, -z), -30, 30)))))
-    blank = loss(np.full(len(y), np.log((y.mean() + 1e-9) / (1 - y.mean() + 1e-9))))
-    soft = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))  # Platt's targets
+    y, own = labels[held].astype(float), times[held]
+    loss = lambda z: float(np.average(np.log1p(np.exp(-np.clip(np.where(y == 1, z, -z), -30, 30))), weights=own))
+    ones, every = float(own @ y), float(own.sum())
+    blank = loss(np.full(len(y), np.log((ones / every + 1e-9) / (1 - ones / every + 1e-9))))
+    soft = np.where(y == 1, (ones + 1) / (ones + 2), 1 / (every - ones + 2))  # Platt's targets
     for v in (0, 1):
-        w = _solve(fitted[v].logit(views[v][held])[:, None], soft, 0.01)
+        w = _solve(fitted[v].logit(views[v][held])[:, None], soft, 0.01, times=own)
         fitted[v].slope, fitted[v].shift = max(0.0, float(w[0])), float(w[1])
     gains = [max(0.0, blank - loss(fitted[v].calibrated(views[v][held]))) for v in (0, 1)]
     for v in (0, 1):
@@ -201,29 +212,36 @@ def co_train(content: np.ndarray, columns: np.ndarray, labels: np.ndarray, round
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 10_000, rounds: int = 4) -> Model:
-    """Co-train on docs and their labels, by id; about sample_rows labelled and unlabelled rows each at most."""
-    wanted = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("label")).where("id is not null and label in (0, 1)")
+    """Co-train on docs and their labels, by id; about sample_rows distinct labelled and unlabelled rows each at most."""
+    wanted = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("label")).where("id is not null and label in (0, 1)").groupBy("id", "label").agg(F.count(F.lit(1)).alias("times"))
     part = lambda n: int(1_000_000 * min(1.0, sample_rows / max(1, n)))
-    turn = F.pmod(F.xxhash64("id", F.lit(9)), F.lit(1_000_000))
-    drawn = wanted.where(turn < part(wanted.count()))
+    chance = lambda *c: F.pmod(F.xxhash64(*c), F.lit(1_000_000))
+    drawn = materialize(wanted.where(chance("id", F.lit(9)) < part(wanted.count())), "quality-drawn")
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs["source"], docs["lang"])
-    named = rows.join(F.broadcast(drawn), "id")
-    plain = rows.where(F.pmod(F.xxhash64("id", F.lit(13)), F.lit(1_000_000)) < part(docs.count())).join(wanted.select("id"), "id", "left_anti").withColumn("label", F.lit(-1))
+    turn = F.xxhash64("id", "text", "source", "lang")  # a hash of the whole row, so rows without an id are drawn one by one
+    named = rows.join(small(drawn), "id").select(turn.alias("turn"), "text", "source", "lang", "label", "times")
+    plain = rows.where(F.pmod(F.xxhash64(turn, F.lit(13)), F.lit(1_000_000)) < part(docs.count())).join(wanted.select("id"), "id", "left_anti")
+    plain = plain.select(turn.alias("turn"), "text", "source", "lang", F.lit(-1).alias("label"), F.lit(1).cast("long").alias("times"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             content, columns = content_view(batch.column(1)), metadata_view(batch.column(2), batch.column(3), batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(4), pa.array([x.tobytes() for x in content], pa.binary()), pa.array([x.tobytes() for x in columns], pa.binary())], names=["turn", "label", "content", "columns"])
-
-    both = named.select(F.xxhash64("id").alias("turn"), "text", "source", "lang", "label").union(plain.select(F.xxhash64("id"), "text", "source", "lang", "label"))
-    got = both.mapInArrow(measure, "turn long, label int, content binary, columns binary").toArrow()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(4), pa.array([x.tobytes() for x in content], pa.binary()), pa.array([x.tobytes() for x in columns], pa.binary()), batch.column(5)], names=["turn", "label", "content", "columns", "times"])
+
+    measured = named.union(plain).mapInArrow(measure, "turn long, label int, content binary, columns binary, times long")
+    measured = materialize(measured.groupBy("turn", "label", "content", "columns").agg(F.sum("times").alias("times")), "quality-sample")
+    most = measured.count()
+    if most > 4 * sample_rows:  # an id of many different rows
+        measured = measured.where(chance("turn", "label", F.lit(17)) < int(1_000_000 * 2 * sample_rows / most))
+    got = measured.toArrow()
+    release(drawn, measured)
     if not got.num_rows:
         return Model(None, None, 1.0)
-    order = sorted(range(got.num_rows), key=lambda i, t=got["turn"].to_pylist(), c=got["content"].to_pylist(): (t[i], c[i]))
+    order = sorted(range(got.num_rows), key=lambda i, t=got["turn"].to_pylist(), y=got["label"].to_pylist(): (t[i], y[i]))
     got = got.take(pa.array(order))
     content = np.stack([np.frombuffer(x) for x in got["content"].to_pylist()])
     columns = np.stack([np.frombuffer(x, np.int64) for x in got["columns"].to_pylist()])
-    return co_train(content, columns, got["label"].to_numpy(), rounds)
+    return co_train(content, columns, got["label"].to_numpy(), rounds, times=got["times"].to_numpy())
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,19 +1,20 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 Features are hashed n-grams (2 to 6 UTF-8 bytes, ASCII and other letters in lower case, within a word and its two
-borders); the value of one is the number of the text's distinct words that hold it. Two passes over a bounded sample
-of labelled rows (sample_rows, drawn by a hash of the identifier; the sample is joined by broadcast, so no text is
-shuffled): the first counts, per class and bucket, in how many texts an n-gram occurs; the log ratio of the smoothed
-shares is its scale r, and n-grams whose ratio is within `sure` standard errors of none get scale 0. The second fits
-a logistic regression on r-scaled features by gradient steps. A tenth of the sample is held back to calibrate slope
-and intercept (Platt). All rows may be learned from; sample_rows only bounds what the driver holds.
+borders); the value of one is the number of the text's distinct words that hold it. The model is fitted on a bounded
+sample of labelled rows, drawn by hashes and written once: at most about sample_rows distinct rows and sample_bytes of
+text (a text above a sixteenth of that takes no part), each with the number of times it occurs as its weight. One pass over
+the sample counts, per class and bucket, in how many texts an n-gram occurs; the log ratio of the smoothed shares is its
+scale r, and n-grams whose ratio is within `sure` standard errors of none get scale 0. Another fits a logistic regression on
+r-scaled features by gradient steps. A tenth of the sample is held back to calibrate slope and intercept (Platt).
 
 Scoring reads each whole text once: the distinct words of a slice of an Arrow batch are hashed together in numpy, and
 a text's margin is the sum of its distinct words' values. The model is a vector of 2**bits floats, whatever the data.
 
 Defined results: a null or empty text has no features and gets the intercept's score; rows without label or
 id take no part in training; without a row of each class every score is the share of label 1 (0 if there
-is no label at all); repeated rows count as often as they occur; further columns are ignored.
+is no label at all); repeated rows count as often as they occur, and those of labels as often again; further columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.llm.rows import small
+from factloom.storage import materialize, release
+
 SHORTEST, LONGEST = 2, 6
 #: Characters of text whose words are hashed together.
 SLICE = 4_000_000
@@ -99,16 +103,16 @@ class Model:
 
 
 def _class_counts(rows: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per class: texts with each bucket, and texts; every task sends at most 2**bits sums per class."""
+    """rows (text, label, times). Per class: texts with each bucket, and texts; a task sends at most 2**bits sums per class."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, 1 << bits), np.int64)
         total = np.zeros(2, np.int64)
         for batch in batches:
-            for label, found in zip(batch.column(1).to_pylist(), features_of(batch.column(0).to_pylist(), bits), strict=True):
+            for label, times, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), features_of(batch.column(0).to_pylist(), bits), strict=True):
                 row = sums[label]
-                row[found] = row[found] + 1  # repeated buckets are written once
-                total[label] += 1
+                row[found] = row[found] + times  # repeated buckets are written once
+                total[label] += times
         for label in (0, 1):
             at = np.flatnonzero(sums[label])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at) + 1, label, np.int32)), pa.array(np.append(at, -1).astype(np.int64)), pa.array(np.append(sums[label][at], total[label]))], names=["label", "bucket", "n"])
@@ -122,21 +126,40 @@ def _class_counts(rows: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return sums, total
 
 
-def _sampled(rows: DataFrame, bits: int, useful: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """The useful features and label of each sampled row, in the order of its identifier's hash."""
+def _sampled(rows: DataFrame, bits: int, useful: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """rows (text, label, turn, times): the useful features, label and weight of each, in the order of turn."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [x.tobytes() for x in features_of(batch.column(0).to_pylist(), bits, useful)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1), batch.column(2)], names=["f", "label", "turn"])
-
-    got = rows.mapInArrow(extract, "f binary, label int, turn long").toArrow()
-    taken = sorted(zip(*(got.column(i).to_pylist() for i in (2, 0, 1)), strict=True))
-    return [np.frombuffer(f, np.int32) for _, f, _ in taken], np.array([y for _, _, y in taken], float)
-
-
-def _fit(found: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, rounds: int, rate: float, decay: float) -> tuple[np.ndarray, float]:
-    """Logistic regression on r-scaled features by full-batch Adam steps; returns r * w and the intercept."""
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1), batch.column(2), batch.column(3)], names=["f", "label", "turn", "times"])
+
+    got = rows.mapInArrow(extract, "f binary, label int, turn long, times long").toArrow()
+    taken = sorted(zip(*(got.column(i).to_pylist() for i in (2, 0, 1, 3)), strict=True))
+    return [np.frombuffer(f, np.int32) for _, f, _, _ in taken], np.array([y for _, _, y, _ in taken], float), np.array([t for *_, t in taken], float)
+
+
+def _sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, sample_rows: int, sample_bytes: int) -> DataFrame:
+    """text, label, turn, times of a bounded number of distinct labelled rows, as a written table."""
+    wanted = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("label")).where("id is not null and label in (0, 1)").groupBy("id", "label").agg(F.count(F.lit(1)).alias("times"))
+    share = lambda n, most: int(1_000_000 * min(1.0, most / max(1, n)))
+    drawn = materialize(wanted.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1_000_000)) < share(wanted.count(), sample_rows)), "tox-drawn")
+    text = F.coalesce(docs[text_col], F.lit(""))
+    rows = docs.select(docs[id_col].alias("id"), text.alias("text")).where(F.octet_length("text") <= sample_bytes // 16).join(small(drawn), "id")
+    rows = rows.select("text", "label", F.xxhash64("id", "text", "label").alias("turn"), "times")
+    found = materialize(rows.groupBy("turn", "label").agg(F.first("text").alias("text"), F.sum("times").alias("times")), "tox-found")
+    n, size = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    release(drawn)
+    if n <= 2 * sample_rows and size <= sample_bytes:
+        return found
+    least = min(share(n, sample_rows), share(size, sample_bytes))  # an id of many different texts, or long ones
+    fewer = materialize(found.where(F.pmod(F.xxhash64("turn", F.lit(8)), F.lit(1_000_000)) < least), "tox-found")
+    release(found)
+    return fewer
+
+
+def _fit(found: list[np.ndarray], labels: np.ndarray, times: np.ndarray, ratio: np.ndarray, rounds: int, rate: float, decay: float) -> tuple[np.ndarray, float]:
+    """Weighted logistic regression on r-scaled features by full-batch Adam steps; returns r * w and the intercept."""
     at = np.concatenate([[0], np.cumsum([len(f) for f in found])])
     columns = np.concatenate(found) if found else np.empty(0, np.int32)
     used, columns = np.unique(columns, return_inverse=True)
@@ -147,8 +170,8 @@ def _fit(found: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, rounds:
     m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     for step in range(1, rounds + 1):
         z = np.bincount(rows, values * w[columns], len(found)) + b
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / len(found)
-        g = np.bincount(columns, values * error[rows], len(used)) + decay * w / len(found)
+        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * times / times.sum()
+        g = np.bincount(columns, values * error[rows], len(used)) + decay * w / times.sum()
         gb = error.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         c1, c2 = 1 - 0.9**step, 1 - 0.99**step
@@ -159,14 +182,14 @@ def _fit(found: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, rounds:
     return weights, float(b)
 
 
-def _calibrate(margins: np.ndarray, labels: np.ndarray, intercept: float) -> tuple[float, float]:
+def _calibrate(margins: np.ndarray, labels: np.ndarray, times: np.ndarray, intercept: float) -> tuple[float, float]:
     """Platt's slope and intercept by Newton steps, with his smoothed targets."""
-    ones = labels.sum()
-    target = np.where(labels == 1, (ones + 1) / (ones + 2), 1 / (len(labels) - ones + 2))
+    ones = (labels * times).sum()
+    target = np.where(labels == 1, (ones + 1) / (ones + 2), 1 / (times.sum() - ones + 2))
     a, b = 1.0, intercept
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * margins + b, -30, 30)))
-        d, h = p - target, p * (1 - p) + 1e-9
+        d, h = times * (p - target), times * (p * (1 - p) + 1e-9)
         ga, gb, haa, hab, hbb = (d * margins).sum(), d.sum(), (h * margins * margins).sum() + 1e-6, (h * margins).sum(), h.sum() + 1e-6
         det = haa * hbb - hab * hab
         if det <= 0:
@@ -176,28 +199,31 @@ def _calibrate(margins: np.ndarray, labels: np.ndarray, intercept: float) -> tup
     return (float(a), float(b)) if a > 0 and np.isfinite(a + b) else (1.0, intercept)
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", bits: int = 18, sample_rows: int = 12_000, sure: float = 4.0, rounds: int = 200, rate: float = 0.05, decay: float = 0.02) -> Model:
-    """Fit on docs joined with labels by id; about sample_rows labelled rows are used at most."""
-    wanted = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("label")).where("id is not null and label in (0, 1)")
-    share = min(1.0, sample_rows / max(1, wanted.count()))
-    turn = F.xxhash64("id", F.lit(7))
-    drawn = wanted.withColumn("turn", turn).where(F.pmod("turn", F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(drawn), "id").select(F.coalesce("text", F.lit("")).alias("text"), "label", "turn")
-    sums, total = _class_counts(rows.select("text", "label"), bits)
+def log_ratio(sums: np.ndarray, total: np.ndarray, sure: float) -> np.ndarray:
+    """The naive Bayes log-count ratio of each bucket; 0 within `sure` standard errors of none."""
+    ratio = np.log((sums[1] + 0.5) / (total[1] + 1)) - np.log((sums[0] + 0.5) / (total[0] + 1))
+    error = np.sqrt(1 / (sums[1] + 0.5) + 1 / (sums[0] + 0.5))
+    return np.where(np.abs(ratio) < sure * error, 0.0, ratio)
+
+
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", bits: int = 18, sample_rows: int = 12_000, sample_bytes: int = 64_000_000, sure: float = 4.0, rounds: int = 200, rate: float = 0.05, decay: float = 0.02) -> Model:
+    """Fit on docs joined with labels by id; about sample_rows distinct labelled rows and sample_bytes of text at most."""
+    rows = _sample(docs, labels, label_col, id_col, text_col, sample_rows, sample_bytes)
+    sums, total = _class_counts(rows.select("text", "label", "times"), bits)
     if total.min() == 0:
         share = total[1] / max(1.0, total.sum())
+        release(rows)
         return Model(bits, np.zeros(1 << bits, np.float32), 1.0, float(np.log((share + 1e-9) / (1 - share + 1e-9))))
-    ratio = np.log((sums[1] + 0.5) / (total[1] + 1)) - np.log((sums[0] + 0.5) / (total[0] + 1))
-    error = np.sqrt(1 / (sums[1] + 0.5) + 1 / (sums[0] + 0.5))
-    ratio[np.abs(ratio) < sure * error] = 0.0
-    found, y = _sampled(rows, bits, ratio != 0)
+    ratio = log_ratio(sums, total, sure)
+    found, y, times = _sampled(rows.select("text", "label", "turn", "times"), bits, ratio != 0)
+    release(rows)
     cut = len(found) // 10
     if not 0 < y[cut:].sum() < len(y) - cut:
         cut = 0
-    weights, intercept = _fit(found[cut:], y[cut:], ratio, rounds, rate, decay)
+    weights, intercept = _fit(found[cut:], y[cut:], times[cut:], ratio, rounds, rate, decay)
     margins = np.array([weights[f].sum(dtype=np.float64) for f in found])
     held = slice(0, cut) if 0 < y[:cut].sum() < cut else slice(None)
-    slope, intercept = _calibrate(margins[held], y[held], intercept)
+    slope, intercept = _calibrate(margins[held], y[held], times[held], intercept)
     return Model(bits, weights, slope, intercept)
 
 
