@@ -61,3 +61,45 @@ def test_chunk_layout():
     png = media.write_png(b" " * 192)
     assert png[:8] == media.SIGNATURE and struct.unpack(">II", png[16:24]) == (64, 1)
     assert struct.unpack(">I", png[29:33])[0] == zlib.crc32(png[12:29])
+
+
+def brute_hash(samples):
+    """Means of 32 bands and columns of the luminance, its cosine sums by definition, and the median, by plain loops."""
+    import math
+
+    height = len(samples)
+    light = [[sum(line[3 * x : 3 * x + 3]) for x in range(64)] for line in samples.tolist()]
+    small = []
+    for r in range(32):
+        a, b = r * height // 32, (r + 1) * height // 32
+        band = light[a:b] if height >= 32 else [light[a]]
+        row = [sum(line[x] for line in band) / len(band) for x in range(64)]
+        small.append([(row[2 * x] + row[2 * x + 1]) / 2 for x in range(32)])
+    low = [sum(small[y][x] * math.cos(math.pi * u * (2 * y + 1) / 64) * math.cos(math.pi * v * (2 * x + 1) / 64) for y in range(32) for x in range(32)) for u in range(8) for v in range(8)]
+    low[0] = 0.0
+    middle = sorted(low)
+    middle = (middle[31] + middle[32]) / 2
+    return [x > middle for x in low], [abs(x - middle) for x in low]
+
+
+@pytest.mark.parametrize("height", [1, 7, 32, 45, 200])
+def test_hash_equals_definition(height):
+    samples = np.random.default_rng(height).integers(0, 256, (height, 192), dtype=np.uint8)
+    want, apart = brute_hash(samples)
+    got = np.unpackbits(np.frombuffer(media.cosine_hash(samples), np.uint8)).astype(bool).tolist()
+    assert all(g == w or d < 1e-6 for g, w, d in zip(got, want, apart))
+
+
+def test_query_columns(spark):
+    import hashlib
+
+    texts = ["", None, "abc", "é" * 96, "x" * 193, "y" * 200_000, "abc"]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, media int").repartition(3)
+    got = {r.id: r for r in media.with_media(docs).collect()}
+    for i, t in enumerate(texts):
+        data = (t or "").encode()
+        payload = data.ljust(max(192, -(-len(data) // 192) * 192), b" ")
+        r = got[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        assert (r.media_bytes, r.media_sha256) == (len(r.media), hashlib.sha256(r.media).hexdigest()) and media.read_png(bytes(r.media))[2].tobytes() == payload
+    assert got[2][1:] == got[6][1:] and media.with_media(docs.limit(0)).count() == 0

@@ -83,3 +83,16 @@ def test_components(spark):
     edges = [(1, 2), (2, 3), (5, 4), (7, 7), (3, 1), (10, 11), (11, 12), (12, 13), (13, 14), (14, 9), (None, 1)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, **dict.fromkeys([9, 10, 11, 12, 13, 14], 9)}
+
+
+def test_links_equal_exact_word_shingles_on_the_drivers_documents(spark):
+    """Every link of the driver's documents, by sets of words: recall and precision are both one there."""
+    import os
+
+    path = "/root/testdata/sf0.001/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no driver tables")
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(path).collect()]
+    got = {(r.id, r.class_id, r.n_links) for r in J.join_similar(spark.read.parquet(path)).collect()}
+    want = brute(rows)
+    assert got == want and sum(n > 0 for *_, n in want) > 10

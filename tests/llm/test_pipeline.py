@@ -75,3 +75,26 @@ def test_run_equals_its_stages(spark, tmp_path):
         stage(spark, docs, path).write.parquet(f"{path}/s{k}")
         docs = spark.read.parquet(f"{path}/s{k}")
     assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in docs.collect())
+
+
+def test_edges_of_the_whole_pipeline(spark, tmp_path):
+    """Empty tables, nulls in every column, empty and very long texts, repeated rows and columns with the stages' own names."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id long, kept boolean, label string, locator long, epoch int"
+    more = (7, True, "l", 1, 2)
+    good = " ".join(f"word{i} and the" for i in range(60)) + "."
+    rows = [(None, None, None, None, None, *more), (1, "", None, "src1", 0, *more), (2, good, "en", None, 9, *more), (2, good, "en", None, 9, *more), (3, good.upper(), "de", "src3", 1, *more), (4, "long " * 60_000, "en", "src4", 2, *more), (None, good + " end", None, None, None, *more)]
+    for k, part in enumerate((rows, [])):
+        path = f"file://{tmp_path}/{k}"
+        spark.createDataFrame(part, schema).write.parquet(f"{path}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+        docs = spark.read.parquet(f"{path}/documents.parquet")
+        counts = []
+        for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, path)
+            assert n == 4 or out.columns == docs.columns
+            out.write.parquet(f"{path}/s{n}")
+            docs = spark.read.parquet(f"{path}/s{n}")
+            counts.append(docs.count())
+        # without labels nothing is rejected; two rows fold to one text three times; the near copy goes; the mix takes most
+        assert counts[:3] == ([7, 4, 3] if part else [0, 0, 0]) and counts[3] == counts[4] <= counts[2]
+        assert corpus_pipeline.run(spark, path).count() == counts[4]
