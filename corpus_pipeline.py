@@ -1,11 +1,17 @@
-"""A training-data pipeline over `documents`: each stage works on all that the stage before it kept."""
+"""A training-data pipeline over `documents`: each stage works on all that the stage before it kept.
+
+Defined results: without labels the quality stage keeps everything; a null text is an empty one, and all empty texts are
+copies of each other; null identifiers, languages and sources are values of their own; of repeated rows one is left after
+the second stage; all stages but the last keep every column of the input, whatever its name; empty tables give an empty
+result.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.llm import exact_dedup, mixing, ngram_join, quality, sentencepiece
-from factloom.storage import materialize, table
+from factloom.storage import materialize, release, table
 
 #: Nine tenths of the tokens that reach the stage, each text at most once; English and the web weigh most.
 MIX = mixing.Plan(
@@ -52,7 +58,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
             docs = materialize(docs, f"stage-{number}")
+            release(before)
     return docs
