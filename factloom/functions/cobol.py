@@ -303,6 +303,8 @@ def facts(text: str, fixed: bool | None = None) -> list[Fact]:
             elif found := assignment(body):
                 may_fail = _phrase(tokens, e) and "SIZE" in (tokens[e].up, tokens[min(e + 1, n - 1)].up, tokens[min(e + 2, n - 1)].up)
                 detail = {"rounded": str(found[2]).lower()} | ({"effects": "unknown", "may_write": " ".join(found[1])} if may_fail else {})
+                if t.up == "MOVE" and body[1].kind == "literal":
+                    detail["literal"] = body[1].value[1:-1]
                 own("assign", t.up, detail=detail, reads=found[0], writes=[] if may_fail else found[1])
             i = e
         else:

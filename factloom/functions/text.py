@@ -82,3 +82,37 @@ def probe_values(literal: str, width: int = 3, size: int = 8192) -> list[int]:
             value = (value * 131 + codes[i + k]) % size
         out.append(value)
     return sorted(set(out))
+
+
+def unicode_tokens(text: str | None, longest: int = 256) -> list[str]:
+    """Distinct tokens of any script, in order: NFKC and case folded words, their parts (camel case, hyphens, digits apart),
+    and the two- to four-character grams of runs of Han, kana and hangul, which have no spaces."""
+    import re
+    import unicodedata
+
+    out: dict[str, None] = {}
+    for word in re.findall(r"[\w$#@-]+", unicodedata.normalize("NFKC", text or "")):
+        whole = word.strip("-").casefold()
+        if whole and len(whole) <= longest:
+            out[whole] = None
+        for part in (p for run in re.findall(r"[^\W\d_]+|\d+", word) for p in re.split(r"(?<=[a-z])(?=[A-Z])", run)):
+            if len(part) <= longest and part.casefold() != whole:
+                out[part.casefold()] = None
+            for run in re.findall(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]{2,}", part):
+                for n in (4, 3, 2):
+                    for i in range(len(run) - n + 1):
+                        out[run[i : i + n]] = None
+    return list(out)
+
+
+def with_unicode_tokens(docs, key: str = "doc_id", text_col: str = "text"):
+    """key and terms (array) by unicode_tokens, in Arrow batches: normalisation is not a built-in function."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([unicode_tokens(t) for t in batch.column(1).to_pylist()], pa.list_(pa.string()))], names=[key, "terms"])
+
+    schema = T.StructType([docs.schema[key], T.StructField("terms", T.ArrayType(T.StringType()))])
+    return docs.select(key, text_col).mapInArrow(run, schema)
