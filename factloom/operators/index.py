@@ -1,8 +1,8 @@
 """A persisted search index: built once, refreshed by segments, read by bucket.
 
 An index is a folder of segments. Each holds `files` (key, sha256, chars, lines, n_tokens, probes), `postings` (term, key,
-tf) partitioned by `bucket`, the first two hex digits of the term's hash, `routes` (term, df, cf) likewise, and `gone`:
-the keys whose rows in earlier segments no longer count. A question reads the buckets of its own terms and nothing else;
+tf) partitioned by `bucket`, the first hex digits of the term's hash (one for small segments, two for large ones), `routes`
+(term, df, cf) likewise, and `gone`: the keys whose rows in earlier segments no longer count. A question reads the buckets of its own terms and nothing else;
 its cost grows with the postings of those terms, not with the corpus. Writing is one shuffle by (bucket, term, key) range,
 so a term that every text holds is spread over many tasks. A refresh writes the texts that changed, were added or were
 removed; `compact` writes all live rows as one new segment.
@@ -17,8 +17,10 @@ nothing.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,19 +30,20 @@ from factloom.functions import text as X
 from factloom.operators import search as S
 from factloom.storage import delete
 
-BUCKET_DIGITS = 2
+#: Characters of text from which a segment has 256 buckets instead of 16.
+LARGE = 10_000_000_000
 #: Names that are broadcast at most.
 FEW = 2_000_000
 
 
-def bucket(term: Column) -> Column:
-    return F.substring(F.sha2(term, 256), 1, BUCKET_DIGITS)
+def bucket(term: Column, digits: int) -> Column:
+    return F.concat(F.lit("b"), F.substring(F.sha2(term, 256), 1, digits))
 
 
-def buckets_of(terms: Sequence[str]) -> list[str]:
-    import hashlib
-
-    return sorted({hashlib.sha256(t.encode()).hexdigest()[:BUCKET_DIGITS] for t in terms})
+def _in_buckets(terms: Sequence[str]) -> Column:
+    """The partitions that hold the terms, whatever number of digits a segment has."""
+    hashes = [hashlib.sha256(t.encode()).hexdigest() for t in terms]
+    return reduce(lambda a, b: a | b, ((F.col("digits") == d) & F.col("bucket").isin(*sorted({"b" + h[:d] for h in hashes})) for d in (1, 2)))
 
 
 def _fs(spark: SparkSession, path: str):
@@ -70,28 +73,33 @@ def _write(docs: DataFrame, gone: DataFrame | None, path: str, number: int, key:
     text = F.col("text")
     files = docs.select(F.col(key).alias("key"), X.content_hash(text).alias("sha256"), F.length(F.coalesce(text, F.lit(""))).cast("long").alias("chars"), F.size(X.lines(text)).cast("long").alias("lines"), F.size(X.tokens(text)).cast("long").alias("n_tokens"), X.probes(text).alias("probes"))
     files.write.parquet(f"{folder}/files")
-    posted = S.postings(docs.select(F.col(key).alias("key"), "text"), "key").withColumn("bucket", bucket(F.col("term")))
-    posted.repartitionByRange("bucket", "term", "key").sortWithinPartitions("bucket", "term", "key").write.partitionBy("bucket").parquet(f"{folder}/postings")
+    written = spark.read.parquet(f"{folder}/files")
+    total = written.agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"), F.coalesce(F.bit_xor(F.xxhash64("key", "sha256")), F.lit(0)).alias("content")).first().asDict()
+    _write_postings(S.postings(docs.select(F.col(key).alias("key"), "text"), "key"), folder, total["chars"])
+    (gone if gone is not None else docs.select(F.col(key).alias("key")).limit(0)).distinct().write.parquet(f"{folder}/gone")
+    _write_manifest(spark, folder, {"segment": number, **total})
+
+
+def _write_postings(posted: DataFrame, folder: str, chars: int) -> None:
+    spark, digits = posted.sparkSession, 2 if chars >= LARGE else 1
+    dealt = posted.select("term", "key", "tf").withColumn("bucket", bucket(F.col("term"), digits))
+    dealt.repartitionByRange("bucket", "term", "key").sortWithinPartitions("bucket", "term", "key").write.partitionBy("bucket").parquet(f"{folder}/postings/digits={digits}")
     if posted_any(spark, folder):
         routes = spark.read.parquet(f"{folder}/postings").groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-        routes.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/routes")
-    (gone if gone is not None else docs.select(F.col(key).alias("key")).limit(0)).distinct().write.parquet(f"{folder}/gone")
-    written = spark.read.parquet(f"{folder}/files")
-    total = written.agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars")).first().asDict()
-    pairs = written.agg(F.bit_xor(F.xxhash64("key", "sha256")).alias("x")).first().x
-    body = {"segment": number, **total, "content": pairs or 0}
+        routes.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/routes/digits={digits}")
+
+
+def _write_manifest(spark: SparkSession, folder: str, body: dict) -> None:
     spark.createDataFrame([(seal(body), json.dumps(body, sort_keys=True, separators=(",", ":")))], "revision string, body string").coalesce(1).write.parquet(f"{folder}/manifest")
 
 
 def posted_any(spark: SparkSession, folder: str) -> bool:
     fs, postings = _fs(spark, f"{folder}/postings")
-    return any(s.isDirectory() for s in fs.listStatus(postings))
+    return any(s.isDirectory() for d in fs.listStatus(postings) if d.isDirectory() for s in fs.listStatus(d.getPath()))
 
 
 def seal(body: dict) -> str:
     """Hash of the canonical JSON of a manifest's body."""
-    import hashlib
-
     return hashlib.sha256(json.dumps(body, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
 
@@ -160,18 +168,20 @@ def live_files(spark: SparkSession, path: str, known: Sequence[int] | None = Non
 
 def postings(spark: SparkSession, path: str, terms: Sequence[str]) -> DataFrame | None:
     """term, key, tf of the given terms: only their buckets are read."""
-    wanted = F.col("bucket").isin(*buckets_of(terms)) & F.col("term").isin(*terms)
+    wanted = _in_buckets(terms) & F.col("term").isin(*terms)
     rows = _rows(spark, path, "postings", None, wanted)
     return None if rows is None else _alive(rows, spark, path).select("term", "key", "tf")
 
 
-def search(spark: SparkSession, path: str, terms: Sequence[str], limit: int, offset: int = 0) -> DataFrame:
-    """key, matched, score (different terms) of the texts with any term, best first, ties by key."""
+def search(spark: SparkSession, path: str, terms: Sequence[str], limit: int | None = None, offset: int = 0) -> DataFrame:
+    """key, matched, score (different terms) of the texts with any term, best first, ties by key; all of them without a
+    limit."""
     found = postings(spark, path, terms)
     if found is None:
         return spark.createDataFrame([], "key long, matched string, score long")
     scored = found.groupBy("key").agg(F.array_join(F.array_sort(F.collect_set("term")), " ").alias("matched"), F.count(F.lit(1)).alias("score"))
-    return scored.orderBy(F.desc("score"), "key").offset(offset).limit(limit)
+    ordered = scored.orderBy(F.desc("score"), "key").offset(offset)
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def bm25(spark: SparkSession, path: str, terms: Sequence[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -246,12 +256,9 @@ def compact(spark: SparkSession, path: str) -> None:
     live_files(spark, path, known).drop("segment").write.parquet(f"{folder}/files")
     rows = _rows(spark, path, "postings", known)
     alive = _alive(rows, spark, path, known).drop("segment")
-    alive.repartitionByRange("bucket", "term", "key").sortWithinPartitions("bucket", "term", "key").write.partitionBy("bucket").parquet(f"{folder}/postings")
-    routes = spark.read.parquet(f"{folder}/postings").groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-    routes.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/routes")
+    total = spark.read.parquet(f"{folder}/files").agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"), F.coalesce(F.bit_xor(F.xxhash64("key", "sha256")), F.lit(0)).alias("content")).first().asDict()
+    _write_postings(alive, folder, total["chars"])
     _rows(spark, path, "gone", known).select("key").limit(0).write.parquet(f"{folder}/gone")
-    total = spark.read.parquet(f"{folder}/files").agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"), F.bit_xor(F.xxhash64("key", "sha256")).alias("content")).first().asDict()
-    body = {"segment": number, **total}
-    spark.createDataFrame([(seal(body), json.dumps(body, sort_keys=True, separators=(",", ":")))], "revision string, body string").coalesce(1).write.parquet(f"{folder}/manifest")
+    _write_manifest(spark, folder, {"segment": number, **total})
     for n in known:
         delete(spark, f"{path}/segment={n}")

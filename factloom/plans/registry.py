@@ -18,4 +18,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from factloom.plans import fact_queries, text_queries  # noqa: E402, F401  register their queries
+from factloom.plans import fact_queries, index_queries, text_queries  # noqa: E402, F401  register their queries
