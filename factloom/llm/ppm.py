@@ -47,6 +47,8 @@ SYMBOLS = 257
 GRAM, TOKEN, TOTALS, TRIGRAM, TEXT = range(5)
 #: Nodes that are merged, and finer slots that a slot is cut into, from level to level.
 FAN_BITS = 7
+#: Tasks that the scoring is dealt into at most; beyond, a task has several chunks, one after the other.
+MOST_TASKS = 100_000
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 #: Bytes of text that are turned into grams at once.
@@ -132,6 +134,16 @@ def _count_values(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(pa.decompress(packed[4:], 8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n).T).view("<i8").ravel()
 
 
+def _costs(values: np.ndarray) -> bytes:
+    """Costs as 32-bit floats, byte by byte, compressed."""
+    return len(values).to_bytes(4, "little") + pa.compress(values.astype("<f4").view(np.uint8).reshape(-1, 4).T.copy(), codec="zstd", asbytes=True)
+
+
+def _cost_values(packed: bytes) -> np.ndarray:
+    n = int.from_bytes(packed[:4], "little")
+    return np.ascontiguousarray(np.frombuffer(pa.decompress(packed[4:], 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n).T).view("<f4").ravel()
+
+
 def _pages(kind: int, node: int, keys, counts: np.ndarray, slots: np.ndarray) -> list[tuple]:
     """A packed row for each slot; keys keep their order."""
     order = np.argsort(slots, kind="stable")
@@ -243,7 +255,7 @@ def _spread(kind: int, keys, values: np.ndarray, nodes: list[int], slots: list[i
     rows = []
     if kind == GRAM:
         for node, slot, k in zip(nodes, slots, asked, strict=True):
-            rows.append((GRAM, node, slot, k, values[np.searchsorted(keys, unpack(k))].tobytes(), 0, 0))
+            rows.append((GRAM, node, slot, k, _costs(values[np.searchsorted(keys, unpack(k))]), 0, 0))
     else:
         known = dict(zip(keys, values.tolist(), strict=True))
         for node, slot, k in zip(nodes, slots, asked, strict=True):
@@ -258,7 +270,7 @@ def _hand_down(key: tuple, asked: pa.Table, answers: pa.Table) -> pa.Table:
     kind = asked["kind"][0].as_py()
     if kind == GRAM:
         keys = np.concatenate([unpack(k) for k in answers["keys"].to_pylist()])
-        values = np.concatenate([np.frombuffer(v, np.float32) for v in answers["counts"].to_pylist()])
+        values = np.concatenate([_cost_values(v) for v in answers["counts"].to_pylist()])
         order = np.argsort(keys)
         keys, values = keys[order], values[order]
     else:
@@ -364,7 +376,7 @@ def _score(key: tuple, held: pa.Table, model: pa.Table) -> pa.Table:
     """The texts of one chunk, with the costs of its grams and the counts of its tokens."""
     kind = model["kind"].to_numpy()
     packed = list(zip(model["keys"].to_pylist(), model["counts"].to_pylist(), strict=True))
-    codes = [(unpack(k), np.frombuffer(v, np.float32)) for (k, v), x in zip(packed, kind, strict=True) if x == GRAM]
+    codes = [(unpack(k), _cost_values(v)) for (k, v), x in zip(packed, kind, strict=True) if x == GRAM]
     table = _Lookup(*(np.concatenate(x) for x in zip(*codes, strict=True)))
     tokens: dict[bytes, int] = {}
     for (keys, n), x in zip(packed, kind, strict=True):
@@ -434,8 +446,10 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
 
     train_tokens, kinds = words + texts, distinct + (texts > 0)
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("train", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("n_words", T.LongType()), T.StructField("known_words", T.LongType()), T.StructField("log_counts", T.DoubleType())])
-    held = gathered.where(is_kind(TEXT)).select("node", "keys")
-    scored = held.groupBy("node").cogroup(wanted.select("node", "kind", "keys", "counts").groupBy("node")).applyInArrow(_score, schema)
+    tasks = min(2 * chunks + 1, MOST_TASKS)  # about a chunk a task: a few chunks meet in one by chance
+    held = gathered.where(is_kind(TEXT)).select("node", "keys").repartition(tasks, "node")
+    wanted = wanted.select("node", "kind", "keys", "counts").repartition(tasks, "node")
+    scored = held.groupBy("node").cogroup(wanted.groupBy("node")).applyInArrow(_score, schema)
     return scored.select(
         "id", "train", "score", (F.col("n_words") + 1).alias("n_tokens"), (F.col("known_words") + F.lit(int(texts > 0))).alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"),
         (F.col("log_counts") + F.lit(math.log10(texts + 1)) - (F.col("n_words") + 1) * F.lit(math.log10(train_tokens + kinds + 1))).alias("base_score"),
