@@ -301,7 +301,8 @@ def facts(text: str, fixed: bool | None = None) -> list[Fact]:
                 names = _data([x for x in body[1:] if x.up not in ("INPUT", "OUTPUT", "I-O", "EXTEND")])
                 own("file", names[0] if names else "", detail={"verb": t.up})
             elif found := assignment(body):
-                may_fail = _phrase(tokens, e) and "SIZE" in (tokens[e].up, tokens[min(e + 1, n - 1)].up, tokens[min(e + 2, n - 1)].up)
+                outer = e < n and tokens[e].up == "NOT" and bool(scoped) and re.fullmatch(r"[A-Z-]+ \d+", scoped[-1])  # the other outcome of a handler around it
+                may_fail = t.up != "MOVE" and not outer and _phrase(tokens, e) and "SIZE" in (tokens[e].up, tokens[min(e + 1, n - 1)].up, tokens[min(e + 2, n - 1)].up)
                 detail = {"rounded": str(found[2]).lower()} | ({"effects": "unknown", "may_write": " ".join(found[1])} if may_fail else {})
                 if t.up == "MOVE" and body[1].kind == "literal":
                     detail["literal"] = body[1].value[1:-1]
@@ -309,6 +310,9 @@ def facts(text: str, fixed: bool | None = None) -> list[Fact]:
             i = e
         else:
             i += 1
+    own = [f for f in out if f.kind == "item"]
+    for place, held in layouts(own).items():
+        own[place].detail["layout"] = " ".join(f"{depth}:{pic}:{usage}" for depth, pic, usage in held)
     return out
 
 
@@ -566,6 +570,136 @@ def regions(items: list[Fact]) -> list[tuple[str, str, str]]:
     return out
 
 
+def layouts(items: list[Fact]) -> dict[int, list[tuple[int, str, str]]]:
+    """place of each item -> its storage as (depth below it, picture, usage) of itself and all it holds, in order.
+
+    Levels are compared as depths, so two groups are laid out alike whatever their level numbers. 66, 77 and 88 hold nothing.
+    """
+    out: dict[int, list[tuple[int, str, str]]] = {}
+    stack: list[tuple[int, int]] = []
+    for place, item in enumerate(items):
+        level = int(item.detail.get("level", "0"))
+        if level in (66, 78, 88):
+            continue
+        level = 1 if level == 77 else level
+        while stack and stack[-1][0] >= level:
+            stack.pop()
+        stack.append((level, place))
+        for depth, (_, at) in enumerate(reversed(stack)):
+            out.setdefault(at, []).append((depth, item.detail.get("pic", "").upper(), item.detail.get("usage", "DISPLAY")))
+    return out
+
+
+def overlapping(items: list[Fact], name: str) -> set[str]:
+    """Names that may share storage with one: what it holds, what holds it, and the same through REDEFINES.
+
+    Level 66, or a REDEFINES of a name that is not there, has no known place: then every name may overlap."""
+    if any(int(i.detail.get("level", "0")) == 66 for i in items) or unbounded(items):
+        return {i.name for i in items} - {name}
+    up: dict[str, set[str]] = {}
+    down: dict[str, set[str]] = {}
+    same: dict[str, set[str]] = {}
+    for a, relation, b in regions(items):
+        if relation == "contains":
+            up.setdefault(b, set()).add(a)
+            down.setdefault(a, set()).add(b)
+        elif relation == "aliases":
+            same.setdefault(a, set()).add(b)
+            same.setdefault(b, set()).add(a)
+
+    def closed(start: set[str], near: dict[str, set[str]]) -> set[str]:
+        found, todo = set(start), list(start)
+        while todo:
+            for x in near.get(todo.pop(), ()):
+                if x not in found:
+                    found.add(x)
+                    todo.append(x)
+        return found
+
+    above = closed({name}, up)
+    beside = set().union(*(closed({x}, same) for x in above))  # an alias of a holder covers the name's place
+    return (above | closed(beside - above, down) | closed({name}, down) | beside) - {name}
+
+
+def unbounded(items: list[Fact]) -> set[str]:
+    """Items whose place is not known: they redefine a name that is not there or stands twice, or lie below such a one."""
+    count: dict[str, int] = {}
+    for i in items:
+        count[i.name] = count.get(i.name, 0) + 1
+    found = {i.name for i in items if "redefines" in i.detail and count.get(i.detail["redefines"], 0) != 1}
+    while more := {b for a, relation, b in regions(items) if relation == "contains" and a in found} - found:
+        found |= more
+    return found
+
+
+def conditional(text: str, context: dict[str, bool | str], fixed: bool | None = None) -> list[tuple[int, bool | None]]:
+    """(line, active) of each code line under >>IF, >>ELSE and >>END-IF: None where a condition is not known. Lines of the
+    directives themselves are not active."""
+    out: list[tuple[int, bool | None]] = []
+    stack: list[tuple[bool | None, bool | None]] = []  # value of the open branch, and of all branches before it
+    for number, code, _ in code_lines(text, fixed):
+        m = re.match(r"\s*>>\s*(IF|ELSE|END-IF)\b(.*)", code, re.I)
+        if not m:
+            values = [v for v, _ in stack]
+            out.append((number, False if False in values else None if None in values else True))
+            continue
+        out.append((number, False))
+        word = m[1].upper()
+        if word == "IF":
+            value = condition_value(m[2].strip().rstrip("."), context)
+            stack.append((value, value))
+        elif stack and word == "ELSE":
+            value = stack[-1][1]
+            stack[-1] = (None if value is None else not value, True)
+        elif stack:
+            stack.pop()
+    return out
+
+
+def files_of(text: str, fixed: bool | None = None) -> list[tuple[str, str, str]]:
+    """(file, relation, name): assigned to an external name by SELECT, holding a record by FD, a record holding a field."""
+    tokens, out = lex(text, fixed), []
+    file = record = ""
+    inside = False
+    for i, t in enumerate(tokens):
+        first = i == 0 or tokens[i - 1].value == "." or tokens[i - 1].line != t.line
+        word = lambda k: tokens[i + k].value.strip("\"'").upper() if i + k < len(tokens) else ""  # noqa: B023, E731
+        if t.up == "SELECT" and first:
+            k = 2 if word(1) == "OPTIONAL" else 1
+            name, rest = word(k), [x.up for x in tokens[i + k + 1 : i + k + 5]]
+            if "ASSIGN" in rest:
+                at = rest.index("ASSIGN") + (2 if "TO" in rest else 1)
+                out.append((name, "assigned", word(k + 1 + at)))
+        elif t.up in ("FD", "SD") and first:
+            file, record, inside = word(1), "", True
+        elif t.up in ("WORKING-STORAGE", "LINKAGE", "LOCAL-STORAGE", "PROCEDURE") and first:
+            inside = False
+        elif inside and first and t.kind == "number" and t.value.isdigit() and (1 <= int(t.value) <= 49):
+            if int(t.value) == 1:
+                record = word(1)
+                out.append((file, "record", record))
+            else:
+                out.append((record, "field", word(1)))
+    return out
+
+
+def dds(text: str) -> list[tuple[str, str, str]]:
+    """(record format, relation, name) of a data description: its fields, and the files that PFILE names."""
+    out, record = [], ""
+    for raw in text.splitlines():
+        line = raw.ljust(80)
+        if line[5].upper() != "A" or line[6] == "*":
+            continue
+        if line[16].upper() == "R":
+            record = line[18:28].strip().upper()
+            out.append(("", "format", record))
+        elif line[18:28].strip() and record:
+            out.append((record, "field", line[18:28].strip().upper()))
+        for name in re.findall(r"PFILE\(([^)]*)\)", line[44:80], re.I):
+            out += [(record, "based_on", x.split("/")[-1].upper()) for x in name.split()]
+    return out
+
+
 def bind(reference: str, items: list[Fact]) -> tuple[str, list[int]]:
     """A name with OF / IN qualifiers against an item tree: (bound, ambiguous or unresolved, places of the items).
 

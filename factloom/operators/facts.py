@@ -90,8 +90,9 @@ def call_bindings(found: DataFrame) -> DataFrame:
     """Actual parameters bound to formal ones by position; BY REFERENCE may write back, as a candidate.
 
     The callee is what resolve() says: a confirmed one binds; several definitions, none, or a data name leave every
-    position as resolved (candidate or unresolved, with the same reason), and nothing is bound to any of them. An item
-    name that a file declares more than once has no layout to compare.
+    position as resolved (candidate or unresolved, with the same reason), and nothing is bound to any of them. Layouts are
+    compared whole (pictures, usages and depths of all that a group holds); an item name that a file declares more than
+    once has none to compare.
     """
     calls = resolve(found).where("kind = 'call'").select("path", F.col("name").alias("callee"), "start_line", F.col("status").alias("resolved"), F.col("reason").alias("why"), F.col("target").alias("callee_path"))
     actual = found.where("kind = 'call' and detail['using'] <> ''").select("path", "start_line", F.col("name").alias("callee"), F.posexplode(F.split(F.col("detail")["using"], " ")).alias("position", "one"))
@@ -99,8 +100,7 @@ def call_bindings(found: DataFrame) -> DataFrame:
     actual = actual.join(calls.distinct(), ["path", "callee", "start_line"])
     formal = found.where("kind = 'signature'").select(F.col("path").alias("formal_path"), F.col("name").alias("formal_program"), F.posexplode(F.split(F.col("detail")["using"], " ")).alias("formal_position", "formal"))
     bound = positions(actual, formal, ["callee_path", "callee"], ["formal_path", "formal_program"])
-    layout = F.coalesce(F.concat_ws(" ", F.col("detail")["pic"], F.col("detail")["usage"]), F.lit(""))
-    items = found.where("kind = 'item'").groupBy("path", F.col("name").alias("item")).agg(F.when(F.count(F.lit(1)) == 1, F.first(F.when(layout == "", "group").otherwise(layout))).alias("layout"))
+    items = found.where("kind = 'item'").groupBy("path", F.col("name").alias("item")).agg(F.when(F.count(F.lit(1)) == 1, F.first(F.col("detail")["layout"])).alias("layout"))
     bound = bound.join(items.select("path", F.col("item").alias("actual"), F.col("layout").alias("actual_layout")), ["path", "actual"], "left")
     bound = bound.join(items.select(F.col("path").alias("callee_path"), F.col("item").alias("formal"), F.col("layout").alias("formal_layout")), ["callee_path", "formal"], "left")
     missing, literal = F.col("formal").isNull(), F.col("actual") == "literal"

@@ -36,7 +36,7 @@ MAIN = """       IDENTIFICATION DIVISION.
 SUB = """       PROGRAM-ID. SUBPGM.
        DATA DIVISION.
        LINKAGE SECTION.
-       01  L-A PIC S9(5)V99.
+       01  L-A PIC S9(5)V99 COMP-3.
        01  L-B PIC 9(4).
        PROCEDURE DIVISION USING L-A L-B.
        S1.
@@ -149,7 +149,7 @@ def test_sources(spark, tmp_path):
     (tmp_path / "a/z.cl").write_bytes(b"\x00" * 50)
     (tmp_path / "a/n.exe").write_text("no")
     scanned = files.scan(spark, str(tmp_path))
-    assert scanned.count() == 3 and [tuple(r) for r in files.excluded(spark, str(tmp_path)).collect()] == [("exe", 1)]
+    assert scanned.count() == 3 and [tuple(r) for r in files.excluded(spark, str(tmp_path)).collect()] == [("exe", "suffix", 1)]
     by = {r.path.rpartition("/")[2]: r for r in files.decoded(scanned).collect()}
     kinds = spark.createDataFrame([("cpy", MAIN), ("cbl", MAIN), ("pf", ""), ("jcl", ""), ("src", "  01 A PIC 9."), ("sql", "select"), ("txt", "x")], "s string, t string")
     assert [r.k for r in kinds.select(files.artifact_kind(kinds.s, kinds.t).alias("k")).collect()] == ["copybook", "cobol_program", "ddl_or_db_file_definition", "job_or_command", "cobol_fragment_or_copybook", "sql_or_ddl", "unclassified_text"]
