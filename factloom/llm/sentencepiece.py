@@ -9,7 +9,10 @@ piece costs the unknown score and becomes byte pieces.
 
 The best segmentation is the one whose summed scores are highest. Scores of a merge-rank vocabulary (all whole and not
 positive: 0, -1, -2, ...) are ranks, not log probabilities, and their sums mean nothing; such a vocabulary is scored
-by -log(rank + 2.7) (Zipf-Mandelbrot), so its segmentation is the most probable one, not the merge order's.
+by -log(rank + 2.7) (Zipf-Mandelbrot), so its segmentation is the most probable one, not the merge order's. With
+merges=True the file's scores are taken as what they are, an order of merges, and the ids are those that the published
+tokenizer gives: the words of one length again advance together, each by its best adjacent pair at a time; a word of
+more than LONG characters is merged alone from a heap.
 
 Decoding joins pieces, turns the space mark into spaces, drops the leading one and reads byte pieces as UTF-8; it
 restores every text exactly. The mark itself (U+2581) in a text is encoded as bytes, so that it survives too.
@@ -20,6 +23,7 @@ equal texts get equal pieces; an empty table gives an empty result; further colu
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -35,6 +39,8 @@ MARK_ITSELF = ""
 UNKNOWN_PENALTY = 10.0
 #: Characters of text whose distinct words are segmented together; words remembered between slices.
 SLICE, REMEMBERED = 8_000_000, 400_000
+#: Characters from which a word is merged alone.
+LONG = 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -59,12 +65,15 @@ class Vocabulary:
     longest: int
     unknown: float
     word: re.Pattern
+    ranks: np.ndarray  # the file's own scores of keys
+    merges: bool = False
 
     @classmethod
     def build(cls, pieces: list[str], scores: list[float], special: set[int], byte_ids: dict[int, int]) -> Vocabulary:
         """special: ids that no text matches (unknown, control, bytes, unused)."""
         own = [i for i in range(len(pieces)) if i not in special and pieces[i]]
         values = np.array([scores[i] for i in own], float)
+        ranks = values
         usual = values[values > -1e8]
         if len(usual) > 100 and (usual <= 0).all() and (usual == np.round(usual)).all():
             values = -np.log(np.where(values > -1e8, -values, 0.0) + 2.7)
@@ -77,17 +86,19 @@ class Vocabulary:
             raise ValueError("a piece holds a space after other characters")
         lone = re.escape(loners)
         word = re.compile(f"{MARK}*[^{MARK}{lone}]+|{MARK}+" + (f"|[{lone}]" if loners else ""))
-        return cls(pieces, np.array([byte_ids[b] for b in range(256)], np.int32), keys[order], values[order], np.array(own, np.int32)[order], max(len(pieces[i]) for i in own), float(values.min()) - UNKNOWN_PENALTY, word)
+        return cls(pieces, np.array([byte_ids[b] for b in range(256)], np.int32), keys[order], values[order], np.array(own, np.int32)[order], max(len(pieces[i]) for i in own), float(values.min()) - UNKNOWN_PENALTY, word, ranks[order])
 
     @classmethod
-    def load(cls, path: str = MODEL) -> Vocabulary:
+    def load(cls, path: str = MODEL, merges: bool = False) -> Vocabulary:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         every = range(model.get_piece_size())
         pieces = [model.id_to_piece(i) for i in every]
         special = {i for i in every if model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)}
-        return cls.build(pieces, [model.get_score(i) for i in every], special, {int(pieces[i][3:5], 16): i for i in every if model.is_byte(i)})
+        found = cls.build(pieces, [model.get_score(i) for i in every], special, {int(pieces[i][3:5], 16): i for i in every if model.is_byte(i)})
+        found.merges = merges
+        return found
 
     def _probe(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Score and id of each hash; minus infinity and -1 where it is no piece."""
@@ -131,6 +142,89 @@ class Vocabulary:
             out[r] = np.array([i for part in reversed(parts) for i in part], np.int32)
         return out
 
+    def _rank(self, hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The file's score of each span, minus infinity where it is no piece."""
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return np.where((self.keys[at] == hashes) & (sizes <= self.longest), self.ranks[at], -np.inf)
+
+    def _merged(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of words of one length by the order of merges."""
+        n, length = len(words), len(words[0])
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, length).astype(np.uint64)
+        prefix, every = _hashes(codes), np.arange(n)
+        with np.errstate(over="ignore"):
+            powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(length, _BASE, np.uint64)]))
+
+        def score(rows: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+            with np.errstate(over="ignore"):
+                return self._rank(prefix[rows, end] - prefix[rows, first] * powers[end - first], end - first)
+
+        after = np.tile(np.arange(1, length + 2), (n, 1))  # where the piece that begins here ends
+        before = np.tile(np.arange(-1, length), (n, 1))
+        best = np.full((n, length), -np.inf)  # of the piece that begins here with the next one
+        for i in range(length - 1):
+            best[:, i] = score(every, np.full(n, i), np.full(n, i + 2))
+        while length > 1:
+            pick = best.argmax(axis=1)
+            rows = np.flatnonzero(best[every, pick] > -np.inf)
+            if not len(rows):
+                break
+            i = pick[rows]
+            middle = after[rows, i]
+            end = after[rows, middle]
+            after[rows, i], best[rows, middle], before[rows, end] = end, -np.inf, i
+            more = end < length
+            best[rows, i] = -np.inf
+            best[rows[more], i[more]] = score(rows[more], i[more], after[rows[more], end[more]])
+            left = before[rows, i]
+            less = left >= 0
+            best[rows[less], left[less]] = score(rows[less], left[less], end[less])
+        out = []
+        for r, w in enumerate(words):
+            spans, at = [], 0
+            while at < length:
+                spans.append((at, int(after[r, at])))
+                at = int(after[r, at])
+            out.append(self._ids(w, spans, prefix[r], powers))
+        return out
+
+    def _ids(self, word: str, spans: list[tuple[int, int]], prefix: np.ndarray, powers: np.ndarray) -> np.ndarray:
+        first, end = (np.array(x) for x in zip(*spans))
+        with np.errstate(over="ignore"):
+            _, found = self._probe(prefix[end] - prefix[first] * powers[end - first])
+        if (found >= 0).all():
+            return found.astype(np.int32)
+        return np.array([x for (a, b), i in zip(spans, found.tolist()) for x in ([i] if i >= 0 else self._bytes(word[a:b]))], np.int32)
+
+    def _merged_alone(self, word: str) -> np.ndarray:
+        """The same for one long word, from a heap of its adjacent pairs."""
+        n = len(word)
+        prefix = _hashes(np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(1, n).astype(np.uint64))[0]
+        with np.errstate(over="ignore"):
+            powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _BASE, np.uint64)]))
+        known = {k: v for k, v in zip(self.keys.tolist(), self.ranks.tolist(), strict=True)} if not hasattr(self, "_known") else self._known
+        self._known = known
+        p, w = prefix.tolist(), powers.tolist()
+        score = lambda a, b: known.get((p[b] - p[a] * w[b - a]) % 2**64) if b - a <= self.longest else None
+        after, before = list(range(1, n + 2)), list(range(-1, n + 1))
+        heap = [(-s, i, i + 1, i + 2) for i in range(n - 1) if (s := score(i, i + 2)) is not None]
+        heapq.heapify(heap)
+        alive = [True] * (n + 1)
+        while heap:
+            _, i, middle, end = heapq.heappop(heap)
+            if not (alive[i] and middle < n and alive[middle]) or after[i] != middle or after[middle] != end:
+                continue
+            after[i], alive[middle], before[end] = end, False, i
+            if end < n and (s := score(i, after[end])) is not None:
+                heapq.heappush(heap, (-s, i, end, after[end]))
+            if before[i] >= 0 and (s := score(before[i], end)) is not None:
+                heapq.heappush(heap, (-s, before[i], i, end))
+        spans, at = [], 0
+        while at < n:
+            spans.append((at, after[at]))
+            at = after[at]
+        return self._ids(word, spans, prefix, powers)
+
     def _bytes(self, text: str) -> list[int]:
         return self.bytes_at[list(text.encode("utf-8", "surrogatepass"))].tolist()
 
@@ -145,7 +239,9 @@ class Vocabulary:
             at_once = max(1, 2_000_000 // int(length * min(length, self.longest)))
             for k in range(0, len(own), at_once):
                 part = own[k : k + at_once]
-                for i, ids in zip(part, self._segment([words[i] for i in part]), strict=True):
+                these = [words[i] for i in part]
+                found = self._segment(these) if not self.merges else self._merged(these) if length <= LONG else map(self._merged_alone, these)
+                for i, ids in zip(part, found, strict=True):
                     out[i] = ids
         return out
 
@@ -204,9 +300,12 @@ class Vocabulary:
         return run
 
 
-def encode(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, ids (array of piece ids), n_pieces and round_trip (does decoding give the text back?) of each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path))  # the file's pieces, whatever the data
+def encode(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_col: str = "text", merges: bool = False) -> DataFrame:
+    """id, ids (array of piece ids), n_pieces and round_trip (does decoding give the text back?) of each row.
+
+    merges: segment by the file's order of merges, as the published tokenizer does, instead of the best summed score.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path, merges))  # the file's pieces, whatever the data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value
