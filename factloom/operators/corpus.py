@@ -28,12 +28,17 @@ def duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return grouped.where("n > 1").select("sha256", "n", (F.col("n") - 1).alias("extras"), "first_id")
 
 
-def snapshot_id(rows: DataFrame, key: str = "doc_id", digest: str = "sha256", width: int = 2) -> DataFrame:
+def snapshot_id(rows: DataFrame, key: str = "doc_id", digest: str = "sha256", per_bucket: int = 50_000) -> DataFrame:
     """One hash of all (key, content hash) pairs, in two levels so that no task sees every row.
 
-    Pairs are dealt into 16**width buckets by a hash of the key; each bucket hashes its sorted pairs, and the snapshot
-    hashes the sorted buckets. Equal sets of pairs give equal ids, whatever their order or partitioning.
+    Pairs are dealt into 16**width buckets by a hash of the key, the width growing with the number of pairs so that a
+    bucket has about per_bucket of them; each bucket hashes its sorted pairs, and the snapshot hashes the sorted buckets.
+    Equal sets of pairs give equal ids, whatever their order or partitioning.
     """
+    width = 2
+    n = rows.count()
+    while n > per_bucket * 16**width:
+        width += 1
     pair = F.concat(F.col(key).cast("string"), F.lit(":"), F.col(digest))
     dealt = rows.select(F.substring(F.sha2(F.col(key).cast("string"), 256), 1, width).alias("bucket"), pair.alias("pair"))
     buckets = dealt.groupBy("bucket").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("pair")), "\n"), 256).alias("hash"), F.count(F.lit(1)).alias("n"))
