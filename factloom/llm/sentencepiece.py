@@ -38,7 +38,7 @@ MARK = "▁"
 MARK_ITSELF = ""
 UNKNOWN_PENALTY = 10.0
 #: Characters of text whose distinct words are segmented together; words remembered between slices.
-SLICE, REMEMBERED = 8_000_000, 400_000
+SLICE, REMEMBERED = 2_000_000, 200_000
 #: Characters from which a word is merged alone.
 LONG = 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -236,7 +236,7 @@ class Vocabulary:
             out[words.index(MARK_ITSELF)] = np.array(self._bytes(MARK), np.int32)
         for length in np.unique(lengths[lengths > 0]):
             own = np.flatnonzero(lengths == length)
-            at_once = max(1, 2_000_000 // int(length * min(length, self.longest)))
+            at_once = max(1, 400_000 // int(length * min(length, self.longest)))
             for k in range(0, len(own), at_once):
                 part = own[k : k + at_once]
                 these = [words[i] for i in part]
