@@ -38,6 +38,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Runtime settings that the session of the stream takes over from the caller's.
 TAKEN_OVER = ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone", "spark.sql.files.maxPartitionBytes")
+#: Memory of an executor's state stores, outside the heap: all of them share it, so it does not grow with partitions.
+STORE_MEMORY = {"boundedMemoryUsage": "true", "maxMemoryUsageMB": 96, "writeBufferSizeMB": 4, "maxWriteBufferNumber": 2}
 #: Micro-batches that the arrivals of a run are read in, unless files_per_batch says otherwise.
 BATCHES = 3
 
@@ -64,6 +66,8 @@ def _stream_state(arrivals: DataFrame, folder: str, files_per_batch: int | None)
             session.conf.set(key, value)
     session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # else each partition reserves disk it never fills
+    for name, megabytes in STORE_MEMORY.items():
+        session.conf.set(f"spark.sql.streaming.stateStore.rocksdb.{name}", str(megabytes))
     files_per_batch = files_per_batch or max(1, math.ceil(len(arrivals.inputFiles()) / BATCHES))
     stream = session.readStream.schema(arrivals.schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{folder}/arrivals")
     kept = stream.groupBy("digest").agg(F.max(F.struct("id", "locator")).alias("head"), F.count(F.lit(1)).alias("size"))

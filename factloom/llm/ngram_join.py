@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.llm.memory import tidy
 from factloom.llm.components import components
 from factloom.llm.ppm import FOLD, slices, string_bytes
 from factloom.llm.rows import without
@@ -255,7 +256,7 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("locator"), text.alias("text"))
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("locator", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("signs", T.BinaryType())])
-    features = materialize(rows.mapInArrow(_features, schema), "join-features")
+    features = materialize(rows.mapInArrow(tidy(_features), schema), "join-features")
     name = F.struct(F.col("id").isNull().alias("none"), "id", "locator")
     classes = materialize(features.groupBy("digest").agg(F.min("locator").alias("rep"), F.count(F.lit(1)).alias("size"), F.min(name).alias("name")), "join-classes")
     reps = features.where("signs is not null").join(classes.select(F.col("rep").alias("locator")), "locator", "left_semi").select("locator", "signs").dropDuplicates(["locator"])

@@ -39,6 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.llm.memory import tidy
 from factloom.storage import fresh_path, release
 
 ORDER = 5
@@ -413,7 +414,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     """One row per input row: id, train, score (log10 probability), n_tokens, n_known, train_tokens, base_score."""
     spark = docs.sparkSession
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
-    gathered = _packed(rows.mapInArrow(_gather(chunk_bytes, fan_bits), PACKED), "ppm-chunks")
+    gathered = _packed(rows.mapInArrow(tidy(_gather(chunk_bytes, fan_bits)), PACKED), "ppm-chunks")
     is_kind = lambda *k: F.col("kind").isin(*k)
     chunks, texts, words = gathered.where(is_kind(TOTALS)).agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
 

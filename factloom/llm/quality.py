@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.llm.memory import tidy
 from factloom.llm.ppm import slices, string_bytes
 from factloom.llm.rows import small
 from factloom.storage import materialize, release
@@ -228,7 +229,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
             content, columns = content_view(batch.column(1)), metadata_view(batch.column(2), batch.column(3), batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(4), pa.array([x.tobytes() for x in content], pa.binary()), pa.array([x.tobytes() for x in columns], pa.binary()), batch.column(5)], names=["turn", "label", "content", "columns", "times"])
 
-    measured = named.union(plain).mapInArrow(measure, "turn long, label int, content binary, columns binary, times long")
+    measured = named.union(plain).mapInArrow(tidy(measure), "turn long, label int, content binary, columns binary, times long")
     measured = materialize(measured.groupBy("turn", "label", "content", "columns").agg(F.sum("times").alias("times")), "quality-sample")
     most = measured.count()
     if most > 4 * sample_rows:  # an id of many different rows
@@ -253,7 +254,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in found)], names=["id", "score", "content_score", "metadata_score"])
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(c, T.DoubleType()) for c in ("score", "content_score", "metadata_score"))])
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs["source"], docs["lang"]).mapInArrow(run, schema)
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs["source"], docs["lang"]).mapInArrow(tidy(run), schema)
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
@@ -267,4 +268,4 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text", least: floa
             found = model.scores(content_view(text), metadata_view(source, lang, text))[0]
             yield batch.filter(pa.array(found >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.llm.memory import tidy
 from factloom.llm.rows import small
 from factloom.storage import materialize, release
 
@@ -117,7 +118,7 @@ def _class_counts(rows: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
             at = np.flatnonzero(sums[label])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at) + 1, label, np.int32)), pa.array(np.append(at, -1).astype(np.int64)), pa.array(np.append(sums[label][at], total[label]))], names=["label", "bucket", "n"])
 
-    counted = rows.mapInArrow(count, "label int, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counted = rows.mapInArrow(tidy(count), "label int, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
     label, bucket, n = (counted.column(i).to_numpy() for i in range(3))
     sums, total = np.zeros((2, 1 << bits)), np.zeros(2)
     here = bucket >= 0
@@ -236,4 +237,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.scores(batch.column(1).to_pylist()))], names=["id", "score"])
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(apply, schema)
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(tidy(apply), schema)
