@@ -162,8 +162,8 @@ def literal_global_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     p AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(a) - 1, 1)), lambda i: (((a[i] % 8192) * 131 + a[i + 1]) % 8192 * 131 + a[i + 2]) % 8192))) AS probe FROM c)
     SELECT doc_id, count(*) AS n_probes, CAST(sum(probe) AS BIGINT) AS probe_sum FROM p GROUP BY doc_id""")
 def ngram_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "documents").select("doc_id", X.probes(F.col("text")).alias("p")).where("size(p) > 0")
-    return found.select("doc_id", F.size("p").cast("long").alias("n_probes"), F.aggregate("p", F.lit(0).cast("long"), lambda s, x: s + x).alias("probe_sum"))
+    found = table(spark, sf_dir, "documents").select("doc_id", X.totals(X.probes(F.col("text"))).alias("p"))
+    return found.select("doc_id", F.col("p.n").alias("n_probes"), F.col("p.total").alias("probe_sum")).where("n_probes > 0")
 
 
 @query("snippet", "SELECT doc_id, substr(text, greatest(strpos(lower(text), 'license') - 20, 1), 80) AS excerpt FROM documents WHERE strpos(lower(text), 'license') > 0")
