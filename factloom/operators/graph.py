@@ -12,33 +12,61 @@ from pyspark.sql import functions as F
 from factloom.storage import materialize, release
 
 
+#: Nodes that are broadcast at most.
+FEW = 1_000_000
+
+
+def _small(nodes: DataFrame) -> DataFrame:
+    return F.broadcast(nodes) if nodes.limit(FEW + 1).count() <= FEW else nodes
+
+
+def written(edges: DataFrame, unique: bool = False) -> DataFrame:
+    """The distinct edges (src, dst) without nulls, as a table that several questions read; edges that are unique are only
+    written. What is written already is given back."""
+    if "written_edges" in edges.__dict__:
+        return edges
+    edges = edges.where("src is not null and dst is not null").select("src", "dst")
+    out = materialize(edges if unique else edges.distinct(), "edges")
+    out.written_edges = True
+    return out
+
+
 def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, hubs: DataFrame | None = None) -> DataFrame:
     """edges (src, dst), seeds (node) -> node, depth: the least number of edges from any seed, up to max_depth.
 
     Nodes in hubs are reached but not expanded, unless they are seeds. Each level is one table; the levels are what the
-    result reads, and the copy of the edges is released once they are written.
+    result reads. A copy of the edges is released once they are written, `written` edges are left. Edges are moved only for
+    a level that starts from more than FEW nodes.
     """
-    edges = materialize(edges.where("src is not null and dst is not null").select("src", "dst").distinct(), "bfs-edges")
+    given, edges = edges, written(edges)
+    closed = None if hubs is None else materialize(hubs.select("node"), "bfs-hubs")
     reached = materialize(seeds.select("node").distinct().withColumn("depth", F.lit(0).cast("long")), "bfs")
     newest = reached
     for depth in range(1, max_depth + 1):
-        start = newest if hubs is None or depth == 1 else newest.join(hubs.select("node"), "node", "left_anti")
-        step = start.join(edges, start.node == edges.src).select(F.col("dst").alias("node")).distinct().join(reached, "node", "left_anti")
-        newest = materialize(step.withColumn("depth", F.lit(depth).cast("long")), "bfs")
+        start = newest if closed is None or depth == 1 else materialize(newest.join(_small(closed), "node", "left_anti"), "bfs-start")
+        near = edges.join(_small(start.select(F.col("node").alias("src"))), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+        found = materialize(near.join(_small(reached.select("node")), "node", "left_anti").withColumn("depth", F.lit(depth).cast("long")), "bfs")
+        release(None if start is newest else start)
+        newest = found
         if newest.isEmpty():
             release(newest)
             break
         reached = reached.unionByName(newest)
-    release(edges)
+    release(closed, None if edges is given else edges)
     return reached
 
 
 def hubs(edges: DataFrame, least: int = 8, share: int = 4) -> DataFrame:
-    """Nodes with at least max(least, ceil(nodes / share)) distinct callers. edges: caller (src) -> callee (dst)."""
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().agg(F.count(F.lit(1)).alias("n"))
-    callers = edges.groupBy("dst").agg(F.countDistinct("src").alias("callers"))
-    limit = F.greatest(F.lit(least), F.ceil(F.col("n") / share))
-    return callers.crossJoin(F.broadcast(nodes)).where(F.col("callers") >= limit).select(F.col("dst").alias("node"), "callers")  # one row
+    """Nodes with at least max(least, ceil(nodes / share)) distinct callers. edges: caller (src) -> callee (dst).
+
+    Nodes and their callers are counted in one pass over the distinct edges, and written.
+    """
+    given, edges = edges, written(edges)
+    ends = edges.select(F.inline(F.array(F.struct(F.col("dst").alias("node"), F.lit(1).cast("long").alias("one")), F.struct(F.col("src").alias("node"), F.lit(0).cast("long").alias("one")))))
+    counted = materialize(ends.groupBy("node").agg(F.sum("one").alias("callers")), "hubs")
+    release(None if edges is given else edges)
+    limit = max(least, -(-counted.count() // share))
+    return counted.where(F.col("callers") >= limit)
 
 
 def witnesses(edges: DataFrame, reached: DataFrame) -> DataFrame:

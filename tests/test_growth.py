@@ -8,6 +8,7 @@ from collections import Counter
 import pyarrow as pa
 
 from factloom.functions import text as X
+from factloom.operators import graph
 from factloom.plans import registry
 
 
@@ -38,3 +39,27 @@ def test_ngram_signature_in_one_batch_pass(spark, tmp_path):
     assert plan.count("ArrowEvalPython") == 1 and "lambda" not in plan
     want = {i: X.probe_values(t or "") for i, t in enumerate(texts)}
     assert {tuple(r) for r in df.collect()} == {(i, len(p), sum(p)) for i, p in want.items() if p}
+
+
+LINES = "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long"
+
+
+def test_edges_and_hubs_are_made_once(spark, tmp_path):
+    rows = [(i, 1, 1 + i * 7 % 23, 1 + i * i % 11) for i in range(60)]
+    spark.createDataFrame(rows, LINES).write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = registry.QUERIES["hub_limited_closure"](spark, str(tmp_path))
+    assert "lineitem" not in plan_of(df)  # levels and hubs are written
+    assert {r.node for r in df.collect()} <= {f"p{r[2]}" for r in rows} | {f"s{r[3]}" for r in rows}
+
+
+def test_hubs_count_distinct_callers(spark):
+    pairs = [(f"c{i % 9}", "h") for i in range(30)] + [("a", "b")] * 20 + [(None, "b"), ("b", None)]
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    got = {tuple(r) for r in graph.hubs(edges, 8).collect()}
+    assert got == {("h", 9)}
+    graph.FEW, few = 1, graph.FEW  # levels that start from many nodes are joined without a broadcast
+    try:
+        reached = graph.bfs(edges, spark.createDataFrame([("c0",), ("c1",), ("a",)], "node string"), 3)
+    finally:
+        graph.FEW = few
+    assert {tuple(r) for r in reached.collect()} == {("c0", 0), ("c1", 0), ("a", 0), ("h", 1), ("b", 1)}
