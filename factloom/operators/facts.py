@@ -81,9 +81,14 @@ def expand(found: DataFrame, resolved: DataFrame, max_depth: int = 8, limit: int
 
 
 def positions(actual: DataFrame, formal: DataFrame, on: list[str], callee: list[str]) -> DataFrame:
-    """actual (on, position, ...) bound to formal (callee, position, formal, ...) of one definition by position."""
-    condition = [actual[a] == formal[c] for a, c in zip([*on, "position"], [*callee, "formal_position"], strict=True)]
-    return actual.join(formal, condition, "left")
+    """actual (on, position, ...) bound to formal (callee, formal_position, formal, ...) of one definition by position; a
+    formal without formal_position stands at every one.
+
+    Both sides are dealt out and the formals of a part are hashed, so a task holds its part of the formals and neither sorts
+    nor keeps the actuals, which are many more.
+    """
+    pairs = zip([*on, "position"], [*callee, "formal_position"], strict=True) if "formal_position" in formal.columns else zip(on, callee, strict=True)
+    return actual.join(formal.hint("shuffle_hash"), [actual[a] == formal[c] for a, c in pairs], "left")
 
 
 def call_bindings(found: DataFrame) -> DataFrame:

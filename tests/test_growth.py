@@ -63,3 +63,12 @@ def test_hubs_count_distinct_callers(spark):
     finally:
         graph.FEW = few
     assert {tuple(r) for r in reached.collect()} == {("c0", 0), ("c1", 0), ("a", 0), ("h", 1), ("b", 1)}
+
+
+def test_formals_are_hashed_and_stand_at_every_position(spark, tmp_path):
+    spark.createDataFrame([(1, 8, 5, 1), (1, 1, 6, 1), (2, 2, 7, 1)], LINES).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(5, "STANDARD", 3), (6, "STANDARD", 44)], "p_partkey long, p_type string, p_size long").write.parquet(f"{tmp_path}/part.parquet")
+    df = registry.QUERIES["call_binding_positions"](spark, str(tmp_path))
+    plan = plan_of(df)
+    assert "Generate" not in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" in plan
+    assert {tuple(r) for r in df.collect()} == {(1, 8, 5, 5, "confirmed", None), (1, 1, 6, 6, "candidate", "layout_differs"), (2, 2, 7, None, "unresolved", "formal_missing")}
