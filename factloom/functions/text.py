@@ -93,14 +93,15 @@ def probe_lists(values: pa.Array, width: int, size: int) -> pa.Array:
     for data, bounds in _chunks(values, max(1, (1 << 21) // size)):
         n = len(bounds) - 1
         kept = _PROBED[data]
-        codes, row = data[kept].astype(np.int64), np.repeat(np.arange(n), np.diff(bounds))[kept]
+        small = np.int32 if size <= 1 << 21 else np.int64  # no value reaches 131 * size + 256
+        codes, row = data[kept].astype(small), np.repeat(np.arange(n, dtype=np.int32), np.diff(bounds))[kept]
         last = max(len(codes) - width + 1, 0)
-        value = np.zeros(last, np.int64)
+        value = np.zeros(last, small)
         for k in range(width):
             value = (value * 131 + codes[k : k + last]) % size
         inside = row[:last] == row[width - 1 : width - 1 + last]
         seen = np.zeros(n * size, bool)
-        seen[(row[:last] * size + value)[inside]] = True
+        seen[(row[:last] * small(size) + value)[inside]] = True
         found = np.flatnonzero(seen)
         ends = np.searchsorted(found, np.arange(n + 1) * size)
         parts.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found % size, pa.int32())))

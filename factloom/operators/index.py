@@ -3,8 +3,10 @@
 An index is a folder of segments. Each holds `files` (key, sha256, chars, lines, n_tokens, probes), `postings` (term, key,
 tf) partitioned by `bucket`, the first hex digits of the term's hash (one for small segments, two for large ones), `routes`
 (term, df, cf) likewise, and `gone`: the keys whose rows in earlier segments no longer count. A question reads the buckets of its own terms and nothing else;
-its cost grows with the postings of those terms, not with the corpus. Writing is one shuffle by (bucket, term, key) range,
-so a term that every text holds is spread over many tasks. A refresh writes the texts that changed, were added or were
+its cost grows with the postings of those terms, not with the corpus. Writing is one shuffle of the postings: each bucket
+is dealt by key into as many parts as the segment's characters ask for, so a term that every text holds is spread over
+them, and a part is sorted by term. Texts are moved only where a key occurs twice or a refresh must choose among very many
+of them. A refresh writes the texts that changed, were added or were
 removed; `compact` writes all live rows as one new segment.
 
 A segment is complete when its manifest is there (written last), whose revision is the hash of what it says; a refresh
@@ -28,16 +30,24 @@ from pyspark.sql.window import Window
 
 from factloom.functions import text as X
 from factloom.operators import search as S
-from factloom.storage import delete
+from factloom.storage import delete, materialize, release
 
 #: Characters of text from which a segment has 256 buckets instead of 16.
 LARGE = 10_000_000_000
 #: Names that are broadcast at most.
 FEW = 2_000_000
+#: Characters of text whose postings one task sorts and writes, on average.
+PART = 20_000_000
 
 
-def bucket(term: Column, digits: int) -> Column:
-    return F.concat(F.lit("b"), F.substring(F.sha2(term, 256), 1, digits))
+def slot(term: Column) -> Column:
+    """The first byte of a term's hash, as X.counts gives it."""
+    return F.conv(F.substring(F.sha2(term, 256), 1, 2), 16, 10).cast("int")
+
+
+def bucket(slot: Column, digits: int) -> Column:
+    """The partition of a slot: its hex digits, or the first of them."""
+    return F.concat(F.lit("b"), F.lower(F.lpad(F.hex(slot if digits == 2 else F.shiftright(slot, 4)), digits, "0")))
 
 
 def _in_buckets(terms: Sequence[str]) -> Column:
@@ -61,32 +71,59 @@ def segments(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(n.split("=")[1]) for n, p in names if n.startswith("segment=") and fs.exists(jvm.Path(p, "manifest/_SUCCESS")))
 
 
+def _small(names: DataFrame) -> DataFrame:
+    return F.broadcast(names) if names.limit(FEW + 1).count() <= FEW else names
+
+
 def _once(docs: DataFrame, key: str) -> DataFrame:
-    """One row per key: that of the greatest version, or text."""
-    order = F.struct(*(F.col(c) for c in ("version", "text") if c in docs.columns))
-    return docs.groupBy(key).agg(F.max_by("text", order).alias("text"))
+    """One row per key: that of the greatest version, or text. Only texts whose key occurs more than once are grouped."""
+    docs = docs.select(key, *(c for c in ("version", "text") if c in docs.columns))
+    order = F.struct(*(F.col(c) for c in docs.columns if c != key))
+    again = materialize(docs.groupBy(key).count().where("count > 1").select(F.col(key).alias("again")), "index-again")
+    if again.isEmpty():
+        release(again)
+        return docs.select(key, "text")
+    again = _small(again)
+    same = docs[key].eqNullSafe(again["again"])
+    several = docs.join(again, same, "left_semi").groupBy(key).agg(F.max_by("text", order).alias("text"))
+    return docs.join(again, same, "left_anti").select(key, "text").unionByName(several)
 
 
 def _write(docs: DataFrame, gone: DataFrame | None, path: str, number: int, key: str) -> None:
     spark, folder = docs.sparkSession, f"{path}/segment={number}"
     delete(spark, folder)
     text = F.col("text")
-    files = docs.select(F.col(key).alias("key"), X.content_hash(text).alias("sha256"), F.length(F.coalesce(text, F.lit(""))).cast("long").alias("chars"), F.size(X.lines(text)).cast("long").alias("lines"), F.size(X.tokens(text)).cast("long").alias("n_tokens"), X.probes(text).alias("probes"))
+    files = docs.select(F.col(key).alias("key"), X.content_hash(text).alias("sha256"), F.length(F.coalesce(text, F.lit(""))).cast("long").alias("chars"), F.size(X.lines(text)).cast("long").alias("lines"), X.n_tokens(text).alias("n_tokens"), X.probes(text).alias("probes"))
     files.write.parquet(f"{folder}/files")
-    written = spark.read.parquet(f"{folder}/files")
-    total = written.agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"), F.coalesce(F.bit_xor(F.xxhash64("key", "sha256")), F.lit(0)).alias("content")).first().asDict()
-    _write_postings(S.postings(docs.select(F.col(key).alias("key"), "text"), "key"), folder, total["chars"])
+    total = _total(spark, folder)
+    _write_postings(S.postings(docs.select(F.col(key).alias("key"), "text"), "key", slot=True), folder, total["chars"])
     (gone if gone is not None else docs.select(F.col(key).alias("key")).limit(0)).distinct().write.parquet(f"{folder}/gone")
     _write_manifest(spark, folder, {"segment": number, **total})
 
 
+def _total(spark: SparkSession, folder: str) -> dict:
+    """What a manifest says of the files that are written."""
+    written = spark.read.parquet(f"{folder}/files")
+    return written.agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"), F.coalesce(F.bit_xor(F.xxhash64("key", "sha256")), F.lit(0)).alias("content")).first().asDict()
+
+
+def _dealt(rows: DataFrame, digits: int, parts: int, salt: Column) -> DataFrame:
+    """Every bucket in `parts` partitions, by salt; rows (slot, ...) with their bucket instead of the slot."""
+    number = F.col("slot") if digits == 2 else F.shiftright("slot", 4)
+    dealt = rows.repartitionById(16**digits * parts, (number * parts + F.pmod(salt, F.lit(parts))).cast("int"))
+    return dealt.withColumn("bucket", bucket(F.col("slot"), digits)).drop("slot")
+
+
 def _write_postings(posted: DataFrame, folder: str, chars: int) -> None:
+    """posted: term, key, tf, slot."""
     spark, digits = posted.sparkSession, 2 if chars >= LARGE else 1
-    dealt = posted.select("term", "key", "tf").withColumn("bucket", bucket(F.col("term"), digits))
-    dealt.repartitionByRange("bucket", "term", "key").sortWithinPartitions("bucket", "term", "key").write.partitionBy("bucket").parquet(f"{folder}/postings/digits={digits}")
+    parts = max(1, -(-chars // (PART * 16**digits)))
+    dealt = _dealt(posted.select("term", "key", "tf", "slot"), digits, parts, F.xxhash64("key"))
+    dealt.sortWithinPartitions("bucket", "term", "key").write.partitionBy("bucket").parquet(f"{folder}/postings/digits={digits}")
     if posted_any(spark, folder):
         routes = spark.read.parquet(f"{folder}/postings").groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-        routes.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/routes/digits={digits}")
+        routes = _dealt(routes.select("term", "df", "cf", F.conv(F.rpad(F.substring("bucket", 2, 2), 2, "0"), 16, 10).cast("int").alias("slot")), digits, 1, F.lit(0))
+        routes.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/routes/digits={digits}")
 
 
 def _write_manifest(spark: SparkSession, folder: str, body: dict) -> None:
@@ -129,12 +166,18 @@ def refresh(docs: DataFrame, path: str, key: str = "doc_id", removed: DataFrame
     fresh = _once(docs, key)
     gone = None
     if known:
-        live = live_files(spark, path, known).select(F.col("key").alias(key), "sha256")
-        fresh = fresh.withColumn("sha256", X.content_hash(F.col("text"))).join(live, [key, "sha256"], "left_anti").drop("sha256")
-        gone = fresh.select(F.col(key).alias("key"))
+        live = live_files(spark, path, known).select("key", "sha256")
+        now = fresh.select(F.col(key).alias("key"), X.content_hash(F.col("text")).alias("sha256"))
+        changed = materialize(now.join(live, ["key", "sha256"], "left_anti").select("key"), "index-changed")
+        few = changed.limit(FEW + 1).count() <= FEW
+        fresh = fresh.join(F.broadcast(changed) if few else changed, fresh[key].eqNullSafe(changed["key"]), "left_semi")
+        fresh = fresh if few else materialize(fresh, "index-fresh")  # texts that a join has moved are read three times
+        gone = changed
         if removed is not None:
             gone = gone.union(removed.select(F.col(key).alias("key")))
     _write(fresh, gone, path, number, key)
+    if known:
+        release(changed, fresh)
     return number
 
 
@@ -157,8 +200,7 @@ def _alive(rows: DataFrame, spark: SparkSession, path: str, known: Sequence[int]
     if not later:
         return rows
     gone = _rows(spark, path, "gone", later).groupBy("key").agg(F.max("segment").alias("until"))
-    gone = F.broadcast(gone) if gone.limit(FEW + 1).count() <= FEW else gone
-    return rows.join(gone, "key", "left").where("until is null or segment >= until").drop("until")
+    return rows.join(_small(gone), "key", "left").where("until is null or segment >= until").drop("until")
 
 
 def live_files(spark: SparkSession, path: str, known: Sequence[int] | None = None) -> DataFrame:
@@ -236,17 +278,30 @@ def posting_pages(rows: DataFrame, size: int, inline: int) -> DataFrame:
     return paged.groupBy("term", "page").agg(F.array_sort(F.collect_list("key")).alias("keys"))
 
 
-def coverage(docs: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
-    """One row: how the index stands to the texts: indexed, stale (other content), missing, orphaned, terms, postings."""
-    spark = docs.sparkSession
+def standing(docs: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
+    """One row: how the index stands to the texts: indexed, stale (other content), missing, orphaned. Reads no postings."""
     now = docs.select(F.col(key).alias("key"), X.content_hash(F.col("text")).alias("now"))
-    joined = now.join(live_files(spark, path).select("key", "sha256"), "key", "full")
-    at = joined.agg(
+    joined = now.join(live_files(docs.sparkSession, path).select("key", "sha256"), "key", "full")
+    return joined.agg(
         F.count_if(F.col("now") == F.col("sha256")).alias("indexed"), F.count_if(F.col("now") != F.col("sha256")).alias("stale"), F.count_if(F.col("sha256").isNull()).alias("missing"), F.count_if(F.col("now").isNull()).alias("orphaned"),
     )
-    rows = _rows(spark, path, "postings")
-    alive = _alive(rows, spark, path).agg(F.countDistinct("term").alias("terms"), F.count(F.lit(1)).alias("postings")) if rows is not None else spark.range(1).select(F.lit(0).cast("long").alias("terms"), F.lit(0).cast("long").alias("postings"))
-    return at.crossJoin(alive)  # one row each
+
+
+def sizes(spark: SparkSession, path: str) -> DataFrame:
+    """One row: live terms and postings. One segment has them in its routes; of several, all postings are looked at, since
+    later ones take keys away."""
+    known = segments(spark, path)
+    name = "routes" if len(known) == 1 else "postings"
+    rows = _rows(spark, path, name, known)
+    if rows is None:
+        return spark.range(1).select(F.lit(0).cast("long").alias("terms"), F.lit(0).cast("long").alias("postings"))
+    n = rows.select("term", "df") if name == "routes" else _alive(rows, spark, path, known).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return n.agg(F.count(F.lit(1)).alias("terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("postings"))
+
+
+def coverage(docs: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
+    """One row: standing() and sizes()."""
+    return standing(docs, path, key).crossJoin(sizes(docs.sparkSession, path))  # one row each
 
 
 def compact(spark: SparkSession, path: str) -> None:
@@ -256,8 +311,8 @@ def compact(spark: SparkSession, path: str) -> None:
     live_files(spark, path, known).drop("segment").write.parquet(f"{folder}/files")
     rows = _rows(spark, path, "postings", known)
     alive = _alive(rows, spark, path, known).drop("segment")
-    total = spark.read.parquet(f"{folder}/files").agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"), F.coalesce(F.bit_xor(F.xxhash64("key", "sha256")), F.lit(0)).alias("content")).first().asDict()
-    _write_postings(alive, folder, total["chars"])
+    total = _total(spark, folder)
+    _write_postings(alive.withColumn("slot", slot(F.col("term"))), folder, total["chars"])
     _rows(spark, path, "gone", known).select("key").limit(0).write.parquet(f"{folder}/gone")
     _write_manifest(spark, folder, {"segment": number, **total})
     for n in known:

@@ -16,21 +16,10 @@ from pyspark.sql.window import Window
 from factloom.functions import text as X
 
 
-def counted(tokens: Column) -> Column:
-    """term -> occurrences of one text, counted inside its row: runs of the sorted tokens."""
-
-    def run(v: Column) -> Column:
-        first = F.filter(F.sequence(F.lit(1), F.size(v)), lambda i: (i == 1) | (F.element_at(v, i) != F.element_at(v, F.greatest(i - 1, F.lit(1)))))
-        following = lambda at, k: F.coalesce(F.get(at, k + 1), F.size(v) + 1)
-        runs = X.once(first, lambda at: F.transform(at, lambda i, k: F.struct(F.element_at(v, i).alias("term"), (following(at, k) - i).cast("long").alias("tf"))))
-        return F.when(F.size(v) > 0, runs).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
-
-    return X.once(F.array_sort(tokens), run)
-
-
-def postings(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """term, key, tf: how often each term occurs in each text. One pass, no shuffle: a row holds all of its tokens."""
-    return docs.select(key, F.explode(counted(X.tokens(F.col("text")))).alias("one")).select("one.term", key, "one.tf")
+def postings(docs: DataFrame, key: str = "doc_id", slot: bool = False) -> DataFrame:
+    """term, key, tf[, slot]: how often each term occurs in each text. One pass, no shuffle: a row holds all of its tokens."""
+    rows = docs.select(key, F.explode(X.counts(F.col("text"))).alias("one"))
+    return rows.select("one.term", key, "one.tf", *(["one.slot"] if slot else []))
 
 
 def routes(posted: DataFrame, key: str = "doc_id") -> DataFrame:

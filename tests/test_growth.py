@@ -8,7 +8,7 @@ from collections import Counter
 import pyarrow as pa
 
 from factloom.functions import text as X
-from factloom.operators import graph
+from factloom.operators import graph, index
 from factloom.plans import registry
 
 
@@ -72,3 +72,47 @@ def test_formals_are_hashed_and_stand_at_every_position(spark, tmp_path):
     plan = plan_of(df)
     assert "Generate" not in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" in plan
     assert {tuple(r) for r in df.collect()} == {(1, 8, 5, 5, "confirmed", None), (1, 1, 6, 6, "candidate", "layout_differs"), (2, 2, 7, None, "unresolved", "formal_missing")}
+
+
+def docs_of(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_unique_keys_move_no_texts(spark):
+    alone = index._once(docs_of(spark, [(1, "a b"), (2, None)]), "doc_id")
+    assert "Exchange" not in plan_of(alone) and {tuple(r) for r in alone.collect()} == {(1, "a b"), (2, None)}
+    twice = index._once(docs_of(spark, [(1, "a"), (1, "c"), (1, "b"), (2, "x"), (None, "p"), (None, "q"), (3, None), (3, None)]), "doc_id")
+    assert sorted(map(tuple, twice.collect()), key=repr) == [(1, "c"), (2, "x"), (3, None), (None, "q")]
+
+
+def test_coverage_reads_no_postings_of_one_segment(spark, tmp_path, monkeypatch):
+    texts = {i: t for i, t in enumerate(texts_of(40, seed=3))}
+    terms = ["a", "b", "ab", "z_9"]
+    folders = lambda df: {f.split("segment=0/")[1].split("/")[0] for f in df.inputFiles() if "segment=0/" in f}
+    for large, part in ((1, 10**7), (10**10, 60)):  # with 256 buckets, and with 16 in several parts
+        monkeypatch.setattr(index, "LARGE", large)
+        monkeypatch.setattr(index, "PART", part)
+        path = f"file://{tmp_path}/ix{large}"
+        index.build(docs_of(spark, list(texts.items())), path)
+        df = index.coverage(docs_of(spark, list(texts.items())), path)
+        assert folders(df) == {"files", "routes"}
+        sets = [set(re.findall("[a-z0-9_]+", t.lower())) for t in texts.values()]
+        want = (len(texts), 0, 0, 0, len(set().union(*sets)), sum(map(len, sets)))
+        assert tuple(df.first()) == want
+        assert {r.key for r in index.search(spark, path, terms).collect()} == {k for k, s in zip(texts, sets, strict=True) if s & set(terms)}
+        scores = sorted(map(tuple, index.bm25(spark, path, terms).collect()))
+        index.refresh(docs_of(spark, [(2, "a new"), (900, "z_9")]), path)
+        assert tuple(index.standing(docs_of(spark, list(texts.items())), path).first()) == (len(texts) - 1, 1, 0, 1)
+        assert folders(index.standing(docs_of(spark, list(texts.items())), path)) == {"files"}
+        index.refresh(docs_of(spark, [(2, texts[2])]), path, removed=spark.createDataFrame([(900,)], "doc_id long"))
+        assert tuple(index.coverage(docs_of(spark, list(texts.items())), path).first()) == want
+        index.compact(spark, path)
+        assert sorted(map(tuple, index.bm25(spark, path, terms).collect())) == scores
+
+
+def test_a_refresh_of_many_texts_is_joined(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "FEW", 1)
+    path = f"file://{tmp_path}/ix"
+    index.build(docs_of(spark, [(i, f"old w{i}") for i in range(6)] + [(1, "old w9")]), path)
+    index.refresh(docs_of(spark, [(i, f"new w{i}") for i in range(1, 5)] + [(0, "old w0")]), path)
+    assert {r.key for r in index.search(spark, path, ["new"]).collect()} == {1, 2, 3, 4} and {r.key for r in index.search(spark, path, ["old"]).collect()} == {0, 5}
