@@ -59,7 +59,7 @@ def index_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def index_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the index of the newer snapshot stands to the texts of the older one."""
     old = table(spark, sf_dir, "documents").where("lang <> 'es'").withColumn("text", F.translate("text", "#$%&*", ""))
-    return index.coverage(old, _index(spark, sf_dir, "refreshed")).drop("terms", "postings")
+    return index.standing(old, _index(spark, sf_dir, "refreshed"))
 
 
 @query("index_file_page", f"SELECT doc_id, {_SHA} AS sha256, length(coalesce(text, '')) AS chars FROM documents WHERE doc_id > 40 ORDER BY doc_id LIMIT 30")
