@@ -1,13 +1,14 @@
 """Column functions over text: identities, lines, tokens, probes, counts and excerpts.
 
-All stay in the JVM but probes and counts: an expression per character or token is interpreted there, and costs some
-hundred times what the same arithmetic costs on the bytes of an Arrow batch.
+All stay in the JVM but probes, counts and packed postings: an expression per character or token is interpreted there, and
+costs some hundred times what the same arithmetic costs on the bytes of an Arrow batch.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -87,21 +88,31 @@ def _lists(parts: list[pa.Array], kind: pa.DataType) -> pa.Array:
     return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(kind))
 
 
-def probe_lists(values: pa.Array, width: int, size: int) -> pa.Array:
-    """Of folded texts without nulls: what probes() says."""
-    parts = []
-    for data, bounds in _chunks(values, max(1, (1 << 21) // size)):
+def _probed(values: pa.Array, width: int, size: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of folded texts without nulls: how many neighbouring texts, and which of n * size hashes occur in them. Few at a time,
+    so that all arrays stay in a core's cache."""
+    binary = size <= 1 << 16 and size & (size - 1) == 0  # 16 bits that overflow are right then
+    small, wide = (np.uint16 if binary else np.int32 if size <= 1 << 21 else np.int64), (np.int32 if size <= 1 << 21 else np.int64)
+    for data, bounds in _chunks(values, max(1, (1 << 19) // size), 1 << 19):
         n = len(bounds) - 1
         kept = _PROBED[data]
-        small = np.int32 if size <= 1 << 21 else np.int64  # no value reaches 131 * size + 256
-        codes, row = data[kept].astype(small), np.repeat(np.arange(n, dtype=np.int32), np.diff(bounds))[kept]
+        codes, ends = data[kept].astype(small), np.append(0, np.cumsum(kept, dtype=np.int32))[bounds]
         last = max(len(codes) - width + 1, 0)
         value = np.zeros(last, small)
         for k in range(width):
-            value = (value * 131 + codes[k : k + last]) % size
-        inside = row[:last] == row[width - 1 : width - 1 + last]
+            value = value * small(131) + codes[k : k + last]  # below 131 * size + 256, if not in 16 bits
+            value = value & small(size - 1) if binary else value % small(size)
+        first = np.repeat(np.arange(n, dtype=wide) * wide(size), np.diff(ends))
+        inside = first[:last] == first[width - 1 : width - 1 + last]
         seen = np.zeros(n * size, bool)
-        seen[(row[:last] * small(size) + value)[inside]] = True
+        seen[(first[:last] + value)[inside]] = True
+        yield n, seen
+
+
+def probe_lists(values: pa.Array, width: int, size: int) -> pa.Array:
+    """Of folded texts without nulls: what probes() says."""
+    parts = []
+    for n, seen in _probed(values, width, size):
         found = np.flatnonzero(seen)
         ends = np.searchsorted(found, np.arange(n + 1) * size)
         parts.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found % size, pa.int32())))
@@ -118,6 +129,34 @@ def probes(text: Column, width: int = 3, size: int = 8192) -> Column:
     return run(_folded(text))
 
 
+def probe_sets(values: pa.Array, width: int, size: int) -> pa.Array:
+    """Of folded texts without nulls: what probe_bits() says."""
+    parts = []
+    for n, seen in _probed(values, width, size):
+        ends = np.arange(n + 1, dtype=np.int32) * (size // 8)
+        parts.append(pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(np.packbits(seen, bitorder="little"))]))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
+
+
+def probe_bits(text: Column, width: int = 3, size: int = 8192) -> Column:
+    """probes() as a set of size / 8 bytes: hash h is bit h % 8 of byte h / 8, lowest first."""
+
+    @F.arrow_udf("binary")
+    def run(values: pa.Array) -> pa.Array:
+        return probe_sets(values, width, size)
+
+    return run(_folded(text))
+
+
+def has_probes(bits: Column, wanted: list[int]) -> Column:
+    """Whether probe_bits() hold all the wanted hashes."""
+    masks: dict[int, int] = {}
+    for h in wanted:
+        masks[h // 8] = masks.get(h // 8, 0) | 1 << h % 8
+    byte = lambda at: F.conv(F.hex(F.substring(bits, at + 1, 1)), 16, 10).cast("int")
+    return reduce(lambda a, b: a & b, (byte(at).bitwiseAND(F.lit(mask)) == mask for at, mask in masks.items()), F.lit(True))
+
+
 def totals(values: Column) -> Column:
     """n and total of an array of integers without nulls, as a struct; in Arrow batches like probes(), so that an array made
     there does not come back."""
@@ -185,6 +224,83 @@ def counts(text: Column) -> Column:
     return run(_folded(text))
 
 
+#: How a posting of an integer key is laid out in bytes; the last one is for keys with nulls.
+FORMS = [np.dtype(d) for d in ([("key", "<u4"), ("tf", "u1")], [("key", "<u4"), ("tf", "<u2")], [("key", "<i8"), ("tf", "<u4")], [("key", "<i8"), ("tf", "<u4"), ("null", "?")])]
+
+
+def packed_schema(key: str, integer: bool) -> str:
+    """Columns of packed postings: bytes laid out by FORMS for integer keys, lists for others."""
+    return "term string, part int, df bigint, cf bigint, " + ("form int, packed binary" if integer else f"keys array<{key}>, tfs array<int>")
+
+
+def _records(keys: pa.Array, tf: np.ndarray) -> tuple[int, np.ndarray]:
+    values = keys.fill_null(0).to_numpy()
+    low, high, most = (int(x) for x in (values.min(initial=0), values.max(initial=0), tf.max(initial=0)))
+    form = 3 if keys.null_count else 2 if low < 0 or high >= 1 << 32 or most >= 1 << 16 else int(most >= 1 << 8)
+    out = np.empty(len(values), FORMS[form])
+    out["key"], out["tf"] = values, tf
+    if form == 3:
+        out["null"] = keys.is_null().to_numpy(zero_copy_only=False)
+    return form, out
+
+
+def _packed(words: pa.Array, term: np.ndarray, part: np.ndarray, keys: pa.Array, tf: np.ndarray) -> pa.RecordBatch:
+    """Postings, in order of term (a place in words) and part, as one row of packed_schema() per term and part."""
+    new = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (part[1:] != part[:-1]))) if len(term) else np.zeros(0, np.int64)
+    ends = np.append(new, len(term)).astype(np.int32)
+    cf = np.add.reduceat(tf, new) if len(new) else tf
+    columns = {"term": words.take(pa.array(term[new], pa.int64())), "part": pa.array(part[new], pa.int32()), "df": pa.array(np.diff(ends), pa.int64()), "cf": pa.array(cf, pa.int64())}
+    if pa.types.is_integer(keys.type):
+        form, records = _records(keys, tf)
+        columns["form"] = pa.array(np.full(len(new), form, np.int32))
+        columns["packed"] = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(ends * np.int32(records.itemsize)), pa.py_buffer(records.view(np.uint8))])
+    else:
+        columns |= {name: pa.ListArray.from_arrays(pa.array(ends), v) for name, v in (("keys", keys), ("tfs", pa.array(tf, pa.int32())))}
+    return pa.RecordBatch.from_pydict(columns)
+
+
+def unpack(forms: np.ndarray, packed: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]:
+    """Of rows with form and packed: places of the rows, keys and tf of their postings, for some hundred rows at a time."""
+    for at in range(0, len(packed), 256):
+        for form in np.unique(forms[at : at + 256]):
+            rows = np.flatnonzero(forms[at : at + 256] == form) + at
+            found = packed.take(pa.array(rows))
+            size = FORMS[form].itemsize
+            n = np.diff(np.frombuffer(found.buffers()[1], np.int32)[: len(found) + 1]) // size
+            records = np.frombuffer(found.buffers()[2], FORMS[form], n.sum())
+            keys = pa.array(records["key"].astype(np.int64), mask=records["null"] if form == 3 else None)
+            yield np.repeat(rows, n), keys, records["tf"].astype(np.int64)
+
+
+def pack_texts(values: pa.Array, keys: pa.Array, part: np.ndarray, size: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+    """Postings of folded texts without nulls, a batch for about `size` bytes of them: each row has the keys of the texts of
+    one part that hold a term, and how often each does."""
+    at = 0
+    for data, bounds in _chunks(values, len(values), size):
+        n = len(bounds) - 1
+        inside, begins = _begins(data, bounds)
+        starts, kept = np.flatnonzero(begins), data[inside]
+        row = np.repeat(np.arange(n), np.diff(np.searchsorted(starts, bounds)))
+        offsets = np.append((np.cumsum(inside, dtype=np.int32) - 1)[starts], np.int32(len(kept)))
+        found = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(kept)]).dictionary_encode()
+        order = np.argsort(part[at : at + n], kind="stable")  # texts by part
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        pairs, tf = np.unique(found.indices.to_numpy().astype(np.int64) * n + place[row], return_counts=True)
+        term = pairs // n
+        row = order[pairs - term * n] + at
+        yield _packed(found.dictionary, term, part[row], keys.take(pa.array(row)), tf)
+        at += n
+
+
+def pack_rows(terms: pa.Array, keys: pa.Array, tf: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
+    """Postings that are rows, packed alike."""
+    found = terms.dictionary_encode()
+    term = found.indices.to_numpy()
+    order = np.lexsort((part, term))
+    return _packed(found.dictionary, term[order], part[order], keys.take(pa.array(order)), tf[order])
+
+
 def snippet(text: Column, term: str, before: int = 20, width: int = 80) -> Column:
     """An excerpt that starts up to `before` characters ahead of the first hit; null without a hit."""
     at = F.instr(F.lower(text), term)

@@ -1,11 +1,14 @@
 """A persisted search index: built once, refreshed by segments, read by bucket.
 
-An index is a folder of segments. Each holds `files` (key, sha256, chars, lines, n_tokens, probes), `postings` (term, key,
-tf) partitioned by `bucket`, the first hex digits of the term's hash (one for small segments, two for large ones), `routes`
-(term, df, cf) likewise, and `gone`: the keys whose rows in earlier segments no longer count. A question reads the buckets of its own terms and nothing else;
-its cost grows with the postings of those terms, not with the corpus. Writing is one shuffle of the postings: each bucket
-is dealt by key into as many parts as the segment's characters ask for, so a term that every text holds is spread over
-them, and a part is sorted by term. Texts are moved only where a key occurs twice or a refresh must choose among very many
+An index is a folder of segments. Each holds `files` (key, sha256, chars, lines, n_tokens, probes: a set of bits), `postings`
+(term, df, cf, and keys and tf in bytes, or in lists
+where keys are no integers) partitioned by `bucket`, the first hex digits of the term's hash (one for small segments, two for
+large ones), `routes` (term, df, cf) likewise, and `gone`: the keys whose rows in earlier segments no longer count. A
+question reads the buckets of its own terms and nothing else; its cost grows with the postings of those terms, not with the
+corpus. A row of postings holds the texts of one batch that share a term: postings are packed in the pass that counts them,
+so that what is shuffled, sorted and written is a row per term and some megabytes of text. Writing is one shuffle of these
+rows: each bucket is dealt by key into as many parts as the segment's characters ask for, so a term that every text holds is
+spread over them, and a part is sorted by term. Texts are moved only where a key occurs twice or a refresh must choose among very many
 of them. A refresh writes the texts that changed, were added or were
 removed; `compact` writes all live rows as one new segment.
 
@@ -21,7 +24,8 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Sequence
+import zlib
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,19 +44,14 @@ FEW = 2_000_000
 PART = 20_000_000
 
 
-def slot(term: Column) -> Column:
-    """The first byte of a term's hash, as X.counts gives it."""
-    return F.conv(F.substring(F.sha2(term, 256), 1, 2), 16, 10).cast("int")
-
-
-def bucket(slot: Column, digits: int) -> Column:
-    """The partition of a slot: its hex digits, or the first of them."""
-    return F.concat(F.lit("b"), F.lower(F.lpad(F.hex(slot if digits == 2 else F.shiftright(slot, 4)), digits, "0")))
+def bucket(term: Column, digits: int) -> Column:
+    """The partition of a term: the first hex digits of its CRC-32, as a number."""
+    return F.shiftright(F.crc32(term.cast("binary")), 32 - 4 * digits).cast("int")
 
 
 def _in_buckets(terms: Sequence[str]) -> Column:
     """The partitions that hold the terms, whatever number of digits a segment has."""
-    hashes = [hashlib.sha256(t.encode()).hexdigest() for t in terms]
+    hashes = [f"{zlib.crc32(t.encode()):08x}" for t in terms]
     return reduce(lambda a, b: a | b, ((F.col("digits") == d) & F.col("bucket").isin(*sorted({"b" + h[:d] for h in hashes})) for d in (1, 2)))
 
 
@@ -93,10 +92,10 @@ def _write(docs: DataFrame, gone: DataFrame | None, path: str, number: int, key:
     spark, folder = docs.sparkSession, f"{path}/segment={number}"
     delete(spark, folder)
     text = F.col("text")
-    files = docs.select(F.col(key).alias("key"), X.content_hash(text).alias("sha256"), F.length(F.coalesce(text, F.lit(""))).cast("long").alias("chars"), F.size(X.lines(text)).cast("long").alias("lines"), X.n_tokens(text).alias("n_tokens"), X.probes(text).alias("probes"))
-    files.write.parquet(f"{folder}/files")
+    files = docs.select(F.col(key).alias("key"), X.content_hash(text).alias("sha256"), F.length(F.coalesce(text, F.lit(""))).cast("long").alias("chars"), F.size(X.lines(text)).cast("long").alias("lines"), X.n_tokens(text).alias("n_tokens"), X.probe_bits(text).alias("probes"))
+    files.write.options(**_plain("sha256", "probes")).parquet(f"{folder}/files")
     total = _total(spark, folder)
-    _write_postings(S.postings(docs.select(F.col(key).alias("key"), "text"), "key", slot=True), folder, total["chars"])
+    _write_postings(lambda parts: S.packed_postings(docs.select(F.col(key).alias("key"), "text"), "key", parts), spark, folder, total["chars"])
     (gone if gone is not None else docs.select(F.col(key).alias("key")).limit(0)).distinct().write.parquet(f"{folder}/gone")
     _write_manifest(spark, folder, {"segment": number, **total})
 
@@ -107,22 +106,27 @@ def _total(spark: SparkSession, folder: str) -> dict:
     return written.agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"), F.coalesce(F.bit_xor(F.xxhash64("key", "sha256")), F.lit(0)).alias("content")).first().asDict()
 
 
-def _dealt(rows: DataFrame, digits: int, parts: int, salt: Column) -> DataFrame:
-    """Every bucket in `parts` partitions, by salt; rows (slot, ...) with their bucket instead of the slot."""
-    number = F.col("slot") if digits == 2 else F.shiftright("slot", 4)
-    dealt = rows.repartitionById(16**digits * parts, (number * parts + F.pmod(salt, F.lit(parts))).cast("int"))
-    return dealt.withColumn("bucket", bucket(F.col("slot"), digits)).drop("slot")
+def _plain(*names: str) -> dict[str, str]:
+    """Options of a write whose columns have hardly a value twice: no dictionary is tried for them."""
+    return {f"parquet.enable.dictionary#{name}": "false" for name in names}
+
+
+def _dealt(rows: DataFrame, digits: int, parts: int) -> DataFrame:
+    """Every bucket in `parts` partitions; rows (term, part, ...) with their bucket instead of the part."""
+    number = bucket(F.col("term"), digits)
+    dealt = rows.withColumn("bucket", number).repartitionById(16**digits * parts, F.col("bucket") * parts + F.col("part"))
+    name = F.concat(F.lit("b"), F.lower(F.lpad(F.hex("bucket"), digits, "0")))
+    return dealt.withColumn("bucket", F.coalesce(name, F.lit(""))).drop("part")  # never null, else a writer sorts once more
 
 
-def _write_postings(posted: DataFrame, folder: str, chars: int) -> None:
-    """posted: term, key, tf, slot."""
-    spark, digits = posted.sparkSession, 2 if chars >= LARGE else 1
+def _write_postings(packed: Callable[[int], DataFrame], spark: SparkSession, folder: str, chars: int) -> None:
+    """packed: S.packed_postings for a number of parts."""
+    digits = 2 if chars >= LARGE else 1
     parts = max(1, -(-chars // (PART * 16**digits)))
-    dealt = _dealt(posted.select("term", "key", "tf", "slot"), digits, parts, F.xxhash64("key"))
-    dealt.sortWithinPartitions("bucket", "term", "key").write.partitionBy("bucket").parquet(f"{folder}/postings/digits={digits}")
+    _dealt(packed(parts), digits, parts).sortWithinPartitions("bucket", "term").write.options(**_plain("packed")).partitionBy("bucket").parquet(f"{folder}/postings/digits={digits}")
     if posted_any(spark, folder):
-        routes = spark.read.parquet(f"{folder}/postings").groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-        routes = _dealt(routes.select("term", "df", "cf", F.conv(F.rpad(F.substring("bucket", 2, 2), 2, "0"), 16, 10).cast("int").alias("slot")), digits, 1, F.lit(0))
+        routes = spark.read.parquet(f"{folder}/postings").groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+        routes = _dealt(routes.select("term", "df", "cf", F.lit(0).alias("part")), digits, 1)
         routes.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/routes/digits={digits}")
 
 
@@ -208,11 +212,18 @@ def live_files(spark: SparkSession, path: str, known: Sequence[int] | None = Non
     return _alive(_rows(spark, path, "files", known), spark, path, known)
 
 
+def _posted(spark: SparkSession, path: str, known: Sequence[int] | None = None, wanted: Column | None = None) -> DataFrame | None:
+    """term, key, tf of every live posting."""
+    rows = _rows(spark, path, "postings", known, wanted)
+    if rows is None:
+        return None
+    kind = _rows(spark, path, "files", known).schema["key"].dataType.simpleString()
+    return _alive(S.unpacked(rows, "key", kind), spark, path, known).select("term", "key", "tf")
+
+
 def postings(spark: SparkSession, path: str, terms: Sequence[str]) -> DataFrame | None:
     """term, key, tf of the given terms: only their buckets are read."""
-    wanted = _in_buckets(terms) & F.col("term").isin(*terms)
-    rows = _rows(spark, path, "postings", None, wanted)
-    return None if rows is None else _alive(rows, spark, path).select("term", "key", "tf")
+    return _posted(spark, path, None, _in_buckets(terms) & F.col("term").isin(*terms))
 
 
 def search(spark: SparkSession, path: str, terms: Sequence[str], limit: int | None = None, offset: int = 0) -> DataFrame:
@@ -244,7 +255,7 @@ def candidates(spark: SparkSession, path: str, literal: str) -> DataFrame:
     """Keys whose n-gram probes could hold the literal: a filter without false negatives, to be verified on the text."""
     probes = X.probe_values(literal)
     files = live_files(spark, path)
-    return files.where(F.size(F.array_except(F.array(*map(F.lit, probes)).cast("array<int>"), "probes")) == 0).select("key") if probes else files.select("key")
+    return files.where(X.has_probes(F.col("probes"), probes)).select("key")
 
 
 def locate_global(docs: DataFrame, path: str, literal: str, limit: int, after: tuple | None = None, key: str = "doc_id") -> DataFrame:
@@ -291,11 +302,11 @@ def sizes(spark: SparkSession, path: str) -> DataFrame:
     """One row: live terms and postings. One segment has them in its routes; of several, all postings are looked at, since
     later ones take keys away."""
     known = segments(spark, path)
-    name = "routes" if len(known) == 1 else "postings"
-    rows = _rows(spark, path, name, known)
+    single = len(known) == 1
+    rows = _rows(spark, path, "routes", known) if single else _posted(spark, path, known)
     if rows is None:
         return spark.range(1).select(F.lit(0).cast("long").alias("terms"), F.lit(0).cast("long").alias("postings"))
-    n = rows.select("term", "df") if name == "routes" else _alive(rows, spark, path, known).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n = rows.select("term", "df") if single else rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return n.agg(F.count(F.lit(1)).alias("terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("postings"))
 
 
@@ -309,10 +320,8 @@ def compact(spark: SparkSession, path: str) -> None:
     known = segments(spark, path)
     number, folder = max(known) + 1, f"{path}/segment={max(known) + 1}"
     live_files(spark, path, known).drop("segment").write.parquet(f"{folder}/files")
-    rows = _rows(spark, path, "postings", known)
-    alive = _alive(rows, spark, path, known).drop("segment")
-    total = _total(spark, folder)
-    _write_postings(alive.withColumn("slot", slot(F.col("term"))), folder, total["chars"])
+    alive, total = _posted(spark, path, known), _total(spark, folder)
+    _write_postings(lambda parts: S.packed(alive, "key", parts), spark, folder, total["chars"])
     _rows(spark, path, "gone", known).select("key").limit(0).write.parquet(f"{folder}/gone")
     _write_manifest(spark, folder, {"segment": number, **total})
     for n in known:

@@ -9,17 +9,64 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 from pyspark.sql.window import Window
 
 from factloom.functions import text as X
 
 
-def postings(docs: DataFrame, key: str = "doc_id", slot: bool = False) -> DataFrame:
-    """term, key, tf[, slot]: how often each term occurs in each text. One pass, no shuffle: a row holds all of its tokens."""
-    rows = docs.select(key, F.explode(X.counts(F.col("text"))).alias("one"))
-    return rows.select("one.term", key, "one.tf", *(["one.slot"] if slot else []))
+def postings(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """term, key, tf: how often each term occurs in each text. One pass, no shuffle: a row holds all of its tokens."""
+    return docs.select(key, F.explode(X.counts(F.col("text"))).alias("one")).select("one.term", key, "one.tf")
+
+
+def _part(key: str, parts: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part")
+
+
+def _packed_schema(rows: DataFrame, key: str) -> str:
+    kind = rows.schema[key].dataType
+    return X.packed_schema(kind.simpleString(), isinstance(kind, IntegralType))
+
+
+def packed_postings(docs: DataFrame, key: str, parts: int) -> DataFrame:
+    """postings() as rows of X.packed_schema(), which hold the texts of a batch that share a term and a part, dealt by key."""
+
+    def run(batches):
+        for batch in batches:
+            yield from X.pack_texts(batch.column(1), batch.column(0), batch.column(2).to_numpy())
+
+    texts = docs.select(key, F.lower(F.coalesce("text", F.lit(""))).alias("text"), _part(key, parts))
+    return texts.mapInArrow(run, _packed_schema(docs, key))
+
+
+def packed(posted: DataFrame, key: str, parts: int) -> DataFrame:
+    """Rows term, key, tf as packed_postings() has them."""
+
+    def run(batches):
+        for batch in batches:
+            yield X.pack_rows(batch.column(0), batch.column(1), batch.column(2).to_numpy(), batch.column(3).to_numpy())
+
+    rows = posted.select("term", key, "tf", _part(key, parts)).sortWithinPartitions("term")
+    return rows.mapInArrow(run, _packed_schema(posted, key))
+
+
+def unpacked(rows: DataFrame, key: str, kind: str) -> DataFrame:
+    """term, key (of a kind), tf, segment of packed rows."""
+    if "packed" not in rows.columns:
+        return rows.select("term", F.explode(F.arrays_zip("keys", "tfs")).alias("one"), "segment").select("term", F.col("one.keys").alias(key), F.col("one.tfs").cast("long").alias("tf"), "segment")
+
+    def run(batches):
+        for batch in batches:
+            for at, keys, tf in X.unpack(batch.column(1).to_numpy(), batch.column(2)):
+                at = pa.array(at)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), keys, pa.array(tf), batch.column(3).take(at)], names=["term", key, "tf", "segment"])
+
+    single = rows.select("term", "form", "packed", "segment").mapInArrow(run, f"term string, {key} bigint, tf bigint, segment int")
+    return single.withColumn(key, F.col(key).cast(kind))
 
 
 def routes(posted: DataFrame, key: str = "doc_id") -> DataFrame:

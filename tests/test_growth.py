@@ -5,10 +5,13 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 from factloom.functions import text as X
-from factloom.operators import graph, index
+from factloom.operators import graph, index, search
 from factloom.plans import registry
 
 
@@ -116,3 +119,74 @@ def test_a_refresh_of_many_texts_is_joined(spark, tmp_path, monkeypatch):
     index.build(docs_of(spark, [(i, f"old w{i}") for i in range(6)] + [(1, "old w9")]), path)
     index.refresh(docs_of(spark, [(i, f"new w{i}") for i in range(1, 5)] + [(0, "old w0")]), path)
     assert {r.key for r in index.search(spark, path, ["new"]).collect()} == {1, 2, 3, 4} and {r.key for r in index.search(spark, path, ["old"]).collect()} == {0, 5}
+
+
+def counted(texts, keys):
+    return sorted(((w, k, n) for t, k in zip(texts, keys, strict=True) for w, n in Counter(re.findall("[a-z0-9_]+", t)).items()), key=repr)
+
+
+@pytest.mark.parametrize("form", [0, 1, 2, 3, None])
+def test_postings_packed_by_batch(form):
+    texts = texts_of(700, seed=5) + (["a " * 300] if form == 1 else [])
+    of = {2: lambda i: i - 3, 3: lambda i: None if i == 7 else i, None: lambda i: f"k{i}\né"}.get(form, lambda i: i + (1 << 32) - 9000)
+    keys, part = [of(i) for i in range(len(texts))], np.arange(len(texts), dtype=np.int32) * 7 % 3
+    got, where = [], {k: p for k, p in zip(keys, part.tolist(), strict=True)}
+    for size in (1 << 24, 2000):  # one piece, and many
+        got = []
+        for rows in (X.pack_texts(pa.array(["x", *texts]).slice(1), pa.array(keys), part, size), [X.pack_rows(*(pa.array(v) for v in list(zip(*counted(texts, keys), strict=True))[:2]), *(np.array(v) for v in zip(*((n, where[k]) for _, k, n in counted(texts, keys)), strict=True)))]):
+            found = []
+            for batch in rows:
+                term, cf, df = (batch[c].to_pylist() for c in ("term", "cf", "df"))
+                assert len(set(zip(term, batch["part"].to_pylist(), strict=True))) == len(term)  # one row each
+                if form is None:
+                    lists = list(zip(range(len(term)), batch["keys"].to_pylist(), batch["tfs"].to_pylist(), strict=True))
+                else:
+                    assert set(batch["form"].to_pylist()) <= {form} or size == 2000 or form == 1
+                    lists = [(i, [k], [n]) for at, ks, ns in X.unpack(batch["form"].to_numpy(), batch["packed"]) for i, k, n in zip(at.tolist(), ks.to_pylist(), ns.tolist(), strict=True)]
+                sums = Counter()
+                for i, ks, ns in lists:
+                    found += [(term[i], k, n) for k, n in zip(ks, ns, strict=True)]
+                    assert {where[k] for k in ks} == {batch["part"][i].as_py()}
+                    sums[i, 0] += len(ks)
+                    sums[i, 1] += sum(ns)
+                assert all((sums[i, 0], sums[i, 1]) == (df[i], cf[i]) for i in range(len(term)))
+            assert sorted(found, key=repr) == counted(texts, keys)
+
+
+def test_probe_sets(spark):
+    texts = texts_of(300, seed=8)
+    assert X.probe_sets(pa.array(texts), 3, 8192).to_pylist() == [np.packbits(np.isin(np.arange(8192), X.probe_values(t)), bitorder="little").tobytes() for t in texts]
+    assert X.probe_lists(pa.array(texts), 4, 1000).to_pylist() == [X.probe_values(t, 4, 1000) for t in texts]
+    for literal in ("z09", "ab z", "", "a", "zz" * 40):
+        wanted = X.probe_values(literal)
+        df = docs_of(spark, list(enumerate(texts))).select("doc_id", X.probe_bits(F.col("text")).alias("p")).where(X.has_probes(F.col("p"), wanted))
+        assert {r.doc_id for r in df.collect()} == {i for i, t in enumerate(texts) if set(wanted) <= set(X.probe_values(t))}
+
+
+def test_a_row_of_postings_per_term_and_batch(spark, tmp_path):
+    texts = texts_of(90, seed=4)
+    path = f"file://{tmp_path}/ix"
+    index.build(docs_of(spark, list(enumerate(texts))).coalesce(1), path)
+    every = counted(texts, range(len(texts)))
+    rows = spark.read.parquet(f"{path}/segment=0/postings")
+    assert rows.count() == len({w for w, _, _ in every}) < len(every) and rows.agg(F.sum("df")).first()[0] == len(every)
+    assert sorted(map(tuple, index._posted(spark, path).select("term", "key", "tf").collect()), key=repr) == every
+    sorts = plan_of(index._dealt(search.packed_postings(docs_of(spark, [(1, "a")]), "doc_id", 1), 1, 1).select("bucket"))
+    assert "Empty2Null" not in sorts and not index._dealt(rows.withColumn("part", F.lit(0)), 1, 1).schema["bucket"].nullable
+
+
+@pytest.mark.parametrize("kind", ["string", "int", "date"])
+def test_keys_of_any_kind(spark, tmp_path, kind):
+    texts, path, terms = texts_of(40, seed=6), f"file://{tmp_path}/ix", ["a", "b", "ab", "z_9"]
+    key = F.expr({"string": "'k' || doc_id", "int": "cast(doc_id as int)", "date": "date_add(date'2020-01-01', cast(doc_id as int))"}[kind])
+    docs = docs_of(spark, [*enumerate(texts), (None, "a b")]).select(key.alias("doc_id"), "text")
+    index.build(docs, path)
+    read = lambda: [sorted(map(tuple, rows.collect()), key=repr) for rows in (index.search(spark, path, terms), index.bm25(spark, path, terms))]
+    want = lambda: [sorted(map(tuple, rows.collect()), key=repr) for rows in (search.any_term(docs, terms, 1000), search.bm25(docs, terms))]
+    assert read() == want() and index.search(spark, path, terms).schema["key"].dataType == docs.schema["doc_id"].dataType
+    docs = docs.where("doc_id is not null")
+    index.build(docs, path)
+    index.refresh(docs.limit(3).withColumn("text", F.lit("a new")), path)
+    index.refresh(docs, path)
+    index.compact(spark, path)
+    assert read() == want()
